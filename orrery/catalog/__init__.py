@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series"]
+MODULES = ["series", "arrival"]
 
 
 def load_registry():
