@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "arrival"]
+MODULES = ["series", "arrival", "forecast"]
 
 
 def load_registry():

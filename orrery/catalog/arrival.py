@@ -44,9 +44,11 @@ def rr(name, p):
 
 SQRT2PI = dbl(math.sqrt(2 * math.pi))
 
-CHAIN = f"""
+def chain_sql(base_year: int = BASE_YEAR) -> str:
+    """The DuckDB CTE chain from lineitem to the posterior moments (``post``)."""
+    return f"""
 params AS (
-  SELECT l_returnflag AS scenario_id, {BASE_YEAR} AS base_year, {dbl(SC.COMPUTE_CURRENT)} AS compute_current,
+  SELECT l_returnflag AS scenario_id, {base_year} AS base_year, {dbl(SC.COMPUTE_CURRENT)} AS compute_current,
          {dbl(SC.COMPUTE_TARGET)} AS compute_agi_estimate,
          {dbl(1.25)} + {dbl(0.1)} * avg(CASE WHEN l_linestatus = 'F' THEN {dbl(1)} ELSE {dbl(0)} END) AS compute_growth_rate,
          {dbl(0.5)} AS expert_weight, {dbl(0.5)} AS growth_weight
@@ -138,6 +140,9 @@ def impact_cte(name: str, years: str, duration: int = SC.IMPACT_DURATION) -> str
 )"""
 
 
+CHAIN = chain_sql(BASE_YEAR)
+
+
 def sql(final: str, extra: str = "") -> str:
     return f"WITH {CHAIN}{extra}\n{final}"
 

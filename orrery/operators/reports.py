@@ -15,3 +15,17 @@ def bars_tail(bars: DataFrame, n: int = 5, key: str = "symbol", order: str = "ba
     """
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return bars.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+
+
+def chart_series(bars: DataFrame, path: DataFrame) -> DataFrame:
+    """History and forecast on one axis ``(symbol, scenario_id, kind,
+    point_date, price)``; history rows carry no scenario."""
+    hist = bars.select(
+        "symbol", F.lit(None).cast("string").alias("scenario_id"), F.lit("history").alias("kind"),
+        F.col("bar_date").alias("point_date"), F.col("close").alias("price"),
+    )
+    fc = path.select(
+        "symbol", "scenario_id", F.lit("forecast").alias("kind"),
+        F.col("forecast_date").alias("point_date"), F.col("forecasted_close").alias("price"),
+    )
+    return hist.unionByName(fc)

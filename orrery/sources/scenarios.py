@@ -116,3 +116,13 @@ def growth_params_table(params: DataFrame) -> DataFrame:
         F.lit(DATA_SCALING_EXPONENT).alias("data_scaling_exponent"),
         F.lit(EFFECTIVE_HORIZON).alias("effective_horizon"),
     )
+
+
+def exposure_plan(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Forecast plan ``(symbol, scenario_id)``: a series is forecast under the
+    scenarios its own line items carry (order priority x return flag seen on
+    the same order).  An equi join on the order key, de-duplicated on both
+    sides first so each side shuffles at most one row per (order, value)."""
+    o = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("symbol"))
+    li = lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("scenario_id")).distinct()
+    return o.join(li, "k").select("symbol", "scenario_id").distinct()
