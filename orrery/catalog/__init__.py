@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "arrival", "forecast"]
+MODULES = ["series", "arrival", "forecast", "features"]
 
 
 def load_registry():

@@ -125,7 +125,7 @@ def manifest_from_bars(bars: DataFrame) -> DataFrame:
         F.max("bar_date").alias("range_end"),
     ).select(
         "symbol", "range_start", "range_end",
-        F.to_timestamp(F.date_add("range_end", 1)).alias("written_at"),
+        F.date_add("range_end", 1).cast("timestamp_ntz").alias("written_at"),
     )
 
 
@@ -133,8 +133,9 @@ def cache_fresh_filter(manifest: DataFrame, as_of: str | dt.datetime) -> DataFra
     """A cached range is usable when it ended before ``as_of`` or was written
     less than one whole day before ``as_of``; of the usable entries the latest
     written one per symbol wins."""
-    as_of_ts = F.lit(as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of))
-    age_days = F.floor((F.unix_timestamp(as_of_ts) - F.unix_timestamp("written_at")) / 86400)
+    as_of = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of)
+    as_of_ts = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    age_days = F.floor(F.timestamp_diff("SECOND", F.col("written_at"), as_of_ts) / 86400)
     usable = (F.col("range_end") < F.to_date(as_of_ts)) | (age_days < 1)
     w = Window.partitionBy("symbol").orderBy(F.col("written_at").desc(), F.col("range_start").desc())
     return (
