@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "arrival", "forecast", "features"]
+MODULES = ["series", "arrival", "forecast", "features", "model", "text"]
 
 
 def load_registry():

@@ -29,3 +29,25 @@ def chart_series(bars: DataFrame, path: DataFrame) -> DataFrame:
         F.col("forecast_date").alias("point_date"), F.col("forecasted_close").alias("price"),
     )
     return hist.unionByName(fc)
+
+
+def report_metrics(summary: DataFrame, post: DataFrame, years=(2030, 2035, 2040, 2050)) -> DataFrame:
+    """The report's cards as a long table ``(symbol, scenario_id, metric,
+    value)``: current price, 1/3-month and 1-year forecast, and the normal-CDF
+    probability by fixed years (computed at those years, not looked up in the
+    5-year strides, so a base year off the stride grid still reports them)."""
+    from .arrival import with_cumulative
+
+    prices = summary.select(
+        "symbol", "scenario_id",
+        F.expr(
+            "stack(4, 'current_price', current_price, '1_month_price', `1_month_price`, "
+            "'3_months_price', `3_months_price`, '1_year_price', `1_year_price`) AS (metric, value)"
+        ),
+    )
+    y = post.select("scenario_id", "posterior_mean", "posterior_std", F.explode(F.array(*[F.lit(v) for v in years])).alias("year"))
+    probs = with_cumulative(y).select(
+        "scenario_id", F.concat(F.lit("agi_prob_"), F.col("year").cast("string")).alias("metric"),
+        F.col("cumulative_probability").alias("value"),
+    )
+    return prices.unionByName(summary.select("symbol", "scenario_id").join(probs, "scenario_id"))
