@@ -306,3 +306,17 @@ def q_indicators_all(spark, sf):
 def flagship(spark, sf_dir: str) -> DataFrame:
     """``entry()``: all indicators over the order bars, rows with a full MA200."""
     return q_indicators_all(spark, sf_dir).filter(F.col("ma200").isNotNull())
+
+
+@register(
+    "require_nonempty",
+    f"""SELECT DISTINCT o_orderpriority AS symbol FROM orders
+        WHERE o_orderpriority NOT IN (SELECT symbol FROM ({BARS_SQL})
+                                      WHERE bar_date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}')""",
+)
+def q_require_nonempty(spark, sf):
+    """The job-level guard (raises on an empty range) followed by the
+    per-series check (requested symbols without bars in the range)."""
+    bars = B.require_nonempty(B.bars_date_range(orders_bars(spark, sf), RANGE_START, RANGE_END))
+    requested = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"))
+    return B.missing_symbols(requested, bars)

@@ -69,5 +69,10 @@ def with_ewma(df: DataFrame, x: str, out: str, span: float, s: Series = Series()
         F.col(f"{tmp}_x0") * F.pow(F.lit(big), F.col(SUB)),
         lambda acc, e: acc + e["b"] * F.pow(F.lit(big), F.col(SUB) - 1 - e["k"]),
     )
-    df = df.withColumn(out, F.pow(F.lit(d), q + 1) * carry + F.col(f"{tmp}_local"))
-    return df.drop(f"{tmp}_local", f"{tmp}_bfull", f"{tmp}_x0")
+    # the carry is constant inside a sub-block: fold it on the sub-block's first
+    # row only (the fold is an interpreted lambda) and spread it with a max
+    df = df.withColumn(f"{tmp}_c", F.when(q == 0, carry))
+    df = df.withColumn(f"{tmp}_c", F.max(f"{tmp}_c").over(
+        s.sub.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    keep = [c for c in df.columns if not c.startswith(tmp)]
+    return df.select(*keep, (F.pow(F.lit(d), q + 1) * F.col(f"{tmp}_c") + F.col(f"{tmp}_local")).alias(out))

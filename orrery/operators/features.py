@@ -115,7 +115,7 @@ def with_split(features: DataFrame, series: Series = Series(), test_size: float
 
     ``ceil``: the last ``ceil(n * test_size)`` rows are test (hold-out split);
     ``floor``: the first ``floor(n * (1 - test_size))`` rows are train.  The
-    float products are those of the reference (``0.2 * 15`` is just above 3).
+    products are float products, as in the reference.
     ``embargo`` drops that many train rows before the first test row (the
     target looks 30 rows ahead).  Ordinals come from the block layout and the
     per-series counts from a grouped count, so no window holds a whole series.

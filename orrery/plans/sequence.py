@@ -88,19 +88,22 @@ def layout(
     rows = df.withColumn("_chunk", F.date_trunc(chunk_unit, F.col(order).cast("timestamp")))
 
     counts = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_off", F.sum("_cnt").over(wc) - F.col("_cnt")).withColumn(
-        "_cblk", F.expr(f"_off div {block_rows}")
+    # one ordered pass over the (small) chunk table: offsets, blocks, neighbours
+    wc = Window.partitionBy(key).orderBy("_chunk")
+    upto = wc.rowsBetween(Window.unboundedPreceding, 0)
+    after = wc.rowsBetween(1, Window.unboundedFollowing)
+    c = counts.withColumn("_off", F.sum("_cnt").over(upto) - F.col("_cnt"))
+    c = c.withColumn("_cblk", F.expr(f"_off div {block_rows}"))
+    c = c.withColumn("_lag_blk", F.lag("_cblk").over(wc))
+    first = F.col("_lag_blk").isNull() | (F.col("_lag_blk") != F.col("_cblk"))
+    c = c.withColumns(
+        {
+            "_bstart": F.max(F.when(first, F.col("_off"))).over(upto),
+            "_prev_blk": F.max(F.when(first, F.col("_lag_blk"))).over(upto),
+            "_next_start": F.min(F.when(first, F.col("_off"))).over(after),
+            "_next_blk": F.min(F.when(first, F.col("_cblk"))).over(after),
+        }
     )
-    blocks = counts.groupBy(key, "_cblk").agg(F.min("_off").alias("_bstart"))
-    wb = Window.partitionBy(key).orderBy("_cblk")
-    blocks = blocks.select(
-        key, "_cblk", "_bstart",
-        F.lead("_cblk").over(wb).alias("_next_blk"),
-        F.lead("_bstart").over(wb).alias("_next_start"),
-        F.lag("_cblk").over(wb).alias("_prev_blk"),
-    )
-    chunks = counts.join(blocks, [key, "_cblk"])
     target = F.array_compact(
         F.array(
             F.struct(F.col("_cblk").alias("b"), F.lit(True).alias("own")),
@@ -114,12 +117,15 @@ def layout(
             ),
         )
     )
-    chunk_map = chunks.select(key, "_chunk", "_off", F.explode(target).alias("_t")).select(
+    chunk_map = c.select(key, "_chunk", "_off", F.explode(target).alias("_t")).select(
         key, "_chunk", "_off", F.col("_t.b").alias(BLOCK), F.col("_t.own").alias(OWN)
     )
     chunk_map = chunk_map.withColumn("_base", F.min("_off").over(Window.partitionBy(key, BLOCK))).drop("_off")
 
-    laid = rows.join(chunk_map, [key, "_chunk"])
+    # hash-partition on (key, block) explicitly: rows arriving partitioned by
+    # key alone would otherwise satisfy the window's clustering, leaving every
+    # block of a hot key in one task
+    laid = rows.join(chunk_map, [key, "_chunk"]).repartition(key, BLOCK)
     wp = Window.partitionBy(key, BLOCK).orderBy(order)
     laid = laid.withColumn(POS, F.row_number().over(wp) - 1)
     return laid.withColumn(ORDINAL, F.col("_base") + F.col(POS)).withColumn(
