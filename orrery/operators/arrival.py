@@ -57,9 +57,18 @@ def grid_cross_components(surveys: DataFrame, params: DataFrame, num: int = GRID
 
 def survey_mixture(surveys: DataFrame, params: DataFrame, num: int = GRID_POINTS,
                    span: int = GRID_YEARS) -> DataFrame:
-    """D3 / A1: equal-weight normal mixture on the grid ``(scenario_id, i, x, survey_pdf)``."""
-    g = grid_cross_components(surveys, params, num, span)
-    return g.groupBy(KEY, "i", "x").agg(F.avg("pdf").alias("survey_pdf"))
+    """D3 / A1: equal-weight normal mixture on the grid ``(scenario_id, i, x, survey_pdf)``.
+
+    Components with the same (median, sigma) have the same density, so they
+    are counted first and each distinct one is evaluated once on the grid
+    with its count as weight: the grid work scales with the distinct
+    intervals per scenario (a few hundred), not with the number of surveys.
+    """
+    comps = survey_components(surveys).groupBy(KEY, "median_year", "sigma").agg(F.count(F.lit(1)).alias("_w"))
+    comps = comps.join(params.select(KEY, "base_year"), KEY)
+    g = linspace_grid(comps, "base_year", span, num)
+    g = g.withColumn("pdf", stats.normal_pdf("x", "median_year", "sigma"))
+    return g.groupBy(KEY, "i", "x").agg((F.sum(F.col("pdf") * F.col("_w")) / F.sum("_w")).alias("survey_pdf"))
 
 
 def growth_lognormal(params: DataFrame, sd_ratio: float = GROWTH_SD_RATIO) -> DataFrame:
