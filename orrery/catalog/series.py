@@ -320,3 +320,23 @@ def q_require_nonempty(spark, sf):
     bars = B.require_nonempty(B.bars_date_range(orders_bars(spark, sf), RANGE_START, RANGE_END))
     requested = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"))
     return B.missing_symbols(requested, bars)
+
+
+@register(
+    "bars_stream_append",
+    f"""SELECT * FROM ({BARS_SQL})
+        WHERE CAST(bar_date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 2 DAY""",
+)
+def q_bars_stream_append(spark, sf):
+    """S2-S4 as a stream: order files -> daily bars with a 2-day watermark ->
+    appended to the bar store once final; returns the store's contents."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming.bars import start_bar_ingest
+
+    schema = table(spark, sf, "orders").schema
+    base = scratch_path(spark, f"bar-stream-{uuid.uuid4().hex}")
+    q = start_bar_ingest(spark, sf.rstrip("/"), schema, f"{base}/store", f"{base}/checkpoint", file_glob="orders.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/store").select(*B.BAR_COLUMNS)

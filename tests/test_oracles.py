@@ -14,7 +14,7 @@ FAST = [
     "growth_params_scan", "posterior_moments", "year_panel", "impact_factor", "stride_probabilities",
     "nearest_threshold_year", "forecast_path", "horizon_summary", "year_join_with_fallback", "milestones",
     "features_pipeline", "chronological_split_ceil", "cache_fresh_filter", "bars_store_roundtrip",
-    "topic_prompts", "topic_batch_enrich", "landscape_defaults", "report_metrics", "r2_score",
+    "topic_prompts", "topic_batch_enrich", "landscape_defaults", "report_metrics", "r2_score", "bars_stream_append",
 ]
 
 
