@@ -57,7 +57,8 @@ def q_bars_scan_hourly(spark, sf):
     f"SELECT * FROM ({BARS_SQL}) WHERE bar_date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}'",
 )
 def q_bars_date_range(spark, sf):
-    return B.bars_date_range(orders_bars(spark, sf), RANGE_START, RANGE_END)
+    orders = B.orders_date_range(table(spark, sf, "orders"), RANGE_START, RANGE_END)
+    return B.bars_date_range(B.bars_from_orders(orders), RANGE_START, RANGE_END)
 
 
 @register(

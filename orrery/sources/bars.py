@@ -93,6 +93,18 @@ def bars_date_range(bars: DataFrame, start, end, order: str = "bar_date") -> Dat
     return bars.filter((F.col(order) >= _as_date(start)) & (F.col(order) <= _as_date(end)))
 
 
+def orders_date_range(orders: DataFrame, start, end, ts_col: str = "o_orderdate") -> DataFrame:
+    """S2 pushed below the bar aggregation: a half-open range on the raw
+    timestamp column, ``start <= ts < end + 1 day``, which the parquet reader
+    can use for row-group pruning (a filter on the derived ``bar_date`` cannot
+    reach the scan)."""
+    s = start if isinstance(start, dt.date) else dt.date.fromisoformat(start)
+    e = (end if isinstance(end, dt.date) else dt.date.fromisoformat(end)) + dt.timedelta(days=1)
+    lo = F.lit(dt.datetime(s.year, s.month, s.day).isoformat(sep=" ")).cast("timestamp_ntz")
+    hi = F.lit(dt.datetime(e.year, e.month, e.day).isoformat(sep=" ")).cast("timestamp_ntz")
+    return orders.filter((F.col(ts_col) >= lo) & (F.col(ts_col) < hi))
+
+
 def bars_window_for(as_of, years: int) -> tuple[dt.date, dt.date]:
     """The reference's default range, with an explicit ``as_of`` instead of the clock."""
     as_of = as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)
