@@ -110,19 +110,25 @@ def drop_target(df: DataFrame) -> DataFrame:
 
 
 def with_split(features: DataFrame, series: Series = Series(), test_size: float = 0.2, rule: str = "ceil",
-               embargo: int = 0) -> DataFrame:
+               embargo: int = 0, cut_lineage: bool = True) -> DataFrame:
     """Chronological split per series, no shuffling of rows.
 
     ``ceil``: the last ``ceil(n * test_size)`` rows are test (hold-out split);
     ``floor``: the first ``floor(n * (1 - test_size))`` rows are train.  The
     products are float products, as in the reference.
     ``embargo`` drops that many train rows before the first test row (the
-    target looks 30 rows ahead).  Ordinals come from the block layout and the
-    per-series counts from a grouped count, so no window holds a whole series.
+    target looks 30 rows ahead).  Ordinals and series lengths come from the
+    block layout, so no window holds a whole series.  The layout reads its
+    input twice (rows and chunk counts); with ``cut_lineage`` the feature table
+    is first written as a reliable checkpoint in the shared checkpoint folder
+    so its window chain is not computed twice.
     """
-    ordered = over_series(features, lambda d, s: d, series, back=0, ahead=0, keep_ordinal=True)
-    counts = features.groupBy(series.key).agg(F.count(F.lit(1)).alias("_n"))
-    out = ordered.join(counts, series.key)
+    if cut_lineage:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(features.sparkSession)
+        features = features.checkpoint(eager=True)
+    out = over_series(features, lambda d, s: d, series, back=0, ahead=0, keep_ordinal=True, keep_length=True)
     if rule == "ceil":
         n_train = F.col("_n") - F.ceil(F.col("_n") * F.lit(test_size))
     elif rule == "floor":

@@ -37,9 +37,10 @@ OWN = "_own"          # True for the block's own rows, False for halo copies
 POS = "_p"            # 0-based position inside the block partition (incl. halo)
 SUB = "_sb"           # sub-block of POS (POS div SUB_ROWS), used by the EMA scan
 ORDINAL = "rn"        # 0-based ordinal of the row inside its whole series
+LENGTH = "_n"         # rows in the whole series (from the chunk table)
 SUB_ROWS = 32
 
-INTERNAL = [BLOCK, OWN, POS, SUB, "_base", "_chunk"]
+INTERNAL = [BLOCK, OWN, POS, SUB, LENGTH, "_base", "_chunk"]
 
 
 @dataclass(frozen=True)
@@ -102,6 +103,7 @@ def layout(
             "_prev_blk": F.max(F.when(first, F.col("_lag_blk"))).over(upto),
             "_next_start": F.min(F.when(first, F.col("_off"))).over(after),
             "_next_blk": F.min(F.when(first, F.col("_cblk"))).over(after),
+            LENGTH: F.sum("_cnt").over(Window.partitionBy(key)),
         }
     )
     target = F.array_compact(
@@ -117,8 +119,8 @@ def layout(
             ),
         )
     )
-    chunk_map = c.select(key, "_chunk", "_off", F.explode(target).alias("_t")).select(
-        key, "_chunk", "_off", F.col("_t.b").alias(BLOCK), F.col("_t.own").alias(OWN)
+    chunk_map = c.select(key, "_chunk", "_off", LENGTH, F.explode(target).alias("_t")).select(
+        key, "_chunk", "_off", LENGTH, F.col("_t.b").alias(BLOCK), F.col("_t.own").alias(OWN)
     )
     chunk_map = chunk_map.withColumn("_base", F.min("_off").over(Window.partitionBy(key, BLOCK))).drop("_off")
 
@@ -133,9 +135,10 @@ def layout(
     )
 
 
-def unlayout(df: DataFrame, keep_ordinal: bool = True) -> DataFrame:
-    """Drop halo copies and internal columns."""
-    out = df.filter(F.col(OWN)).drop(*INTERNAL)
+def unlayout(df: DataFrame, keep_ordinal: bool = True, keep_length: bool = False) -> DataFrame:
+    """Drop halo copies and internal columns (optionally keep ``rn`` and ``_n``)."""
+    drop = [c for c in INTERNAL if not (keep_length and c == LENGTH)]
+    out = df.filter(F.col(OWN)).drop(*drop)
     return out if keep_ordinal else out.drop(ORDINAL)
 
 
@@ -149,11 +152,12 @@ def over_series(
     block_rows: int = 1 << 16,
     chunk_unit: str = "month",
     keep_ordinal: bool = False,
+    keep_length: bool = False,
 ) -> DataFrame:
     """Run ``build(laid_out_df, series) -> DataFrame`` on the block layout and
     return the own rows only."""
     laid = layout(df, series, back=back, ahead=ahead, block_rows=block_rows, chunk_unit=chunk_unit)
-    return unlayout(build(laid, series), keep_ordinal=keep_ordinal)
+    return unlayout(build(laid, series), keep_ordinal=keep_ordinal, keep_length=keep_length)
 
 
 def col_or_name(c: str | Column) -> Column:
