@@ -25,7 +25,7 @@ SPAN = SC.GRID_YEARS
 
 def inputs(spark, sf):
     li = table(spark, sf, "lineitem")
-    return SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, BASE_YEAR)
+    return SC.scenario_inputs(li, BASE_YEAR)
 
 
 def post_of(spark, sf):

@@ -32,7 +32,7 @@ F1_ROUND = {"ma50": 6, "ma200": 6, "rsi": 6, "volatility": 6, **{f"momentum_{k}"
 def landscape_of(spark, sf):
     """U4 for the feature constants: scenario N at base year 2025."""
     li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, LAND_BASE))
+    post = A.posterior_moments(*SC.scenario_inputs(li, LAND_BASE))
     return landscape(A.horizon_probability(post)).filter(F.col("scenario_id") == LAND_SCENARIO)
 
 
@@ -203,7 +203,7 @@ def q_defaults(spark, sf):
     """Report years looked up in the 5-year stride table, 0 when the year
     is not one of the strides (the reference's ``.get(key, 0)``)."""
     li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, LAND_BASE))
+    post = A.posterior_moments(*SC.scenario_inputs(li, LAND_BASE))
     stride = A.year_probabilities(post, 0, 30, 5)
     want = post.select("scenario_id", F.explode(F.array(*[F.lit(y) for y in REPORT_YEARS])).alias("year"))
     j = want.join(stride, ["scenario_id", "year"], "left")

@@ -33,18 +33,31 @@ def rr(name, p):
 
 
 def start_of(spark, sf):
-    bars = orders_bars(spark, sf)
+    """Start rows ``(symbol, scenario_id, bar_date, close, predicted_return)``.
+
+    G1's last bar and the stand-in prediction come out of one grouped
+    aggregate over the target rows (one shuffle, partial aggregation), and a
+    symbol without any valid 30-row return has no prediction and no start row.
+    """
+    bars = orders_bars(spark, sf).select("symbol", "bar_date", "close")
     tgt = over_series(bars, lambda d, s: d.withColumn("target_30d_return", W.lead_return("close", s, 30)), S,
                       back=0, ahead=32)
-    pred = G.mean_target_prediction(tgt)
-    last = G.latest_row(bars.select("symbol", "bar_date", "close"))
+    t = F.col("target_30d_return")
+    per_symbol = tgt.groupBy("symbol").agg(
+        F.max_by(F.struct("bar_date", "close"), F.col("bar_date")).alias("_last"),
+        (F.exp(F.avg(F.when(t > -1, F.log(1 + t)))) - 1).alias("predicted_return"),
+        F.count(F.when(t > -1, F.lit(1))).alias("_valid"),
+    )
+    start = per_symbol.filter(F.col("_valid") > 0).select(
+        "symbol", F.col("_last.bar_date").alias("bar_date"), F.col("_last.close").alias("close"), "predicted_return"
+    )
     plan = SC.exposure_plan(table(spark, sf, "orders"), table(spark, sf, "lineitem"))
-    return plan.join(last, "symbol").join(pred, "symbol")
+    return plan.join(start, "symbol")
 
 
 def impact_of(spark, sf):
     li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, BASE))
+    post = A.posterior_moments(*SC.scenario_inputs(li, BASE))
     return A.impact_factor(A.year_probabilities(post, 0, N_YEARS))
 
 

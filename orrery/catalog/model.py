@@ -170,7 +170,7 @@ def q_report_metrics(spark, sf):
     from ..operators.reports import report_metrics
 
     li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, BASE))
+    post = A.posterior_moments(*SC.scenario_inputs(li, BASE))
     start = start_of(spark, sf)
     summ = G.horizon_summary(G.forecast_path(start, impact_of(spark, sf), DAYS), start, DAYS)
     out = report_metrics(summ, post, REPORT_YEARS)

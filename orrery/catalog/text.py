@@ -66,7 +66,7 @@ def q_topic_prompts(spark, sf):
 
 def landscape_of(spark, sf):
     li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, LAND_BASE))
+    post = A.posterior_moments(*SC.scenario_inputs(li, LAND_BASE))
     return E.landscape(A.horizon_probability(post))
 
 

@@ -73,31 +73,43 @@ def reference_params(spark: SparkSession, base_year: int, scenario_id: str = "ba
     )
 
 
-def surveys_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """S6 from ``lineitem``: one survey component per (return flag, supplier).
+def supplier_moments(lineitem: DataFrame) -> DataFrame:
+    """Per (return flag, supplier), in one pass over ``lineitem`` (partial
+    aggregation, one shuffle of one row per task and group): mean and sample
+    std of the quantity, line count, finished lines.  Surveys (S6) and
+    parameters (S7) are both derived from this table."""
+    q = F.col("l_quantity")
+    return lineitem.groupBy(F.col("l_returnflag").alias("scenario_id"), F.col("l_suppkey").alias("supp")).agg(
+        F.avg(q).alias("q_mean"),
+        F.stddev_samp(q).alias("q_std"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count(F.when(F.col("l_linestatus") == "F", F.lit(1))).alias("n_finished"),
+    )
+
+
+def surveys_from_moments(moments: DataFrame) -> DataFrame:
+    """One survey component per (return flag, supplier).
 
     median = 2020 + floor(mean quantity); the interval is median - floor(sd)
     to median + floor(1.5 sd) (skewed to later years, as the real surveys);
     components without a proper interval (``ci_high <= ci_low``) are dropped.
     """
-    q = F.col("l_quantity")
-    med = F.lit(2020) + F.floor(F.avg(q))
-    out = lineitem.groupBy(
-        F.col("l_returnflag").alias("scenario_id"),
-        F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("source"),
-    ).agg(
+    med = F.lit(2020) + F.floor(F.col("q_mean"))
+    out = moments.select(
+        "scenario_id",
+        F.concat(F.lit("supp-"), F.col("supp").cast("string")).alias("source"),
         med.cast("int").alias("median_year"),
-        (med - F.floor(F.stddev_samp(q))).cast("int").alias("ci_low"),
-        (med + F.floor(F.stddev_samp(q) * 1.5)).cast("int").alias("ci_high"),
+        (med - F.floor(F.col("q_std"))).cast("int").alias("ci_low"),
+        (med + F.floor(F.col("q_std") * 1.5)).cast("int").alias("ci_high"),
     )
     return out.filter(F.col("ci_high") > F.col("ci_low"))
 
 
-def params_from_lineitem(lineitem: DataFrame, base_year: int) -> DataFrame:
+def params_from_moments(moments: DataFrame, base_year: int) -> DataFrame:
     """S7 per scenario: the reference's growth parameters, with the yearly
     compute growth set to 1.25 + 0.1 * (share of finished line items)."""
-    share = F.avg(F.when(F.col("l_linestatus") == "F", F.lit(1.0)).otherwise(F.lit(0.0)))
-    return lineitem.groupBy(F.col("l_returnflag").alias("scenario_id")).agg(
+    share = F.sum("n_finished").cast("double") / F.sum("n_lines").cast("double")
+    return moments.groupBy("scenario_id").agg(
         F.lit(base_year).alias("base_year"),
         F.lit(COMPUTE_CURRENT).alias("compute_current"),
         F.lit(COMPUTE_TARGET).alias("compute_agi_estimate"),
@@ -107,6 +119,35 @@ def params_from_lineitem(lineitem: DataFrame, base_year: int) -> DataFrame:
     )
 
 
+def scenario_inputs(lineitem: DataFrame, base_year: int, cut_lineage: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(surveys, params)`` from one pass over ``lineitem``.
+
+    The two tables, and the many places of the arrival chain that use them,
+    need different columns of the per-supplier statistics; Catalyst prunes each
+    use separately, so without a cut every use would scan ``lineitem`` again.
+    With ``cut_lineage`` the statistics (one row per flag and supplier) are
+    written once as a reliable checkpoint in the shared checkpoint folder and
+    every use reads that.
+    """
+    moments = supplier_moments(lineitem)
+    if cut_lineage:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(moments.sparkSession)
+        moments = moments.checkpoint(eager=True)
+    return surveys_from_moments(moments), params_from_moments(moments, base_year)
+
+
+def surveys_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """S6 straight from ``lineitem`` (see :func:`surveys_from_moments`)."""
+    return surveys_from_moments(supplier_moments(lineitem))
+
+
+def params_from_lineitem(lineitem: DataFrame, base_year: int) -> DataFrame:
+    """S7 straight from ``lineitem`` (see :func:`params_from_moments`)."""
+    return params_from_moments(supplier_moments(lineitem), base_year)
+
+
 def growth_params_table(params: DataFrame) -> DataFrame:
     """S7 in the reference's shape: all six parameters, including the three
     it never reads."""
@@ -121,8 +162,10 @@ def growth_params_table(params: DataFrame) -> DataFrame:
 def exposure_plan(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Forecast plan ``(symbol, scenario_id)``: a series is forecast under the
     scenarios its own line items carry (order priority x return flag seen on
-    the same order).  An equi join on the order key, de-duplicated on both
-    sides first so each side shuffles at most one row per (order, value)."""
+    the same order).  Line items are first reduced to one row per order with
+    the set of its flags (partial aggregation; the set is bounded by the
+    number of distinct flags), so that side is already partitioned by the
+    order key when it meets the equi join."""
     o = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("symbol"))
-    li = lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("scenario_id")).distinct()
-    return o.join(li, "k").select("symbol", "scenario_id").distinct()
+    li = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_returnflag").alias("_flags"))
+    return o.join(li, "k").select("symbol", F.explode("_flags").alias("scenario_id")).distinct()
