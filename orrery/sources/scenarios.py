@@ -119,22 +119,25 @@ def params_from_moments(moments: DataFrame, base_year: int) -> DataFrame:
     )
 
 
-def scenario_inputs(lineitem: DataFrame, base_year: int, cut_lineage: bool = True) -> tuple[DataFrame, DataFrame]:
+def scenario_inputs(lineitem: DataFrame, base_year: int, cut_lineage: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """``(surveys, params)`` from one pass over ``lineitem``.
 
     The two tables, and the many places of the arrival chain that use them,
     need different columns of the per-supplier statistics; Catalyst prunes each
     use separately, so without a cut every use would scan ``lineitem`` again.
     With ``cut_lineage`` the statistics (one row per flag and supplier) are
-    written once as a reliable checkpoint in the shared checkpoint folder and
-    every use reads that.
+    written once as a table in the shared checkpoint folder and every use
+    reads that.  By default (``None``) this happens when the optimizer's size
+    estimate of ``lineitem`` exceeds ``CUT_LINEAGE_BYTES``: on small inputs the
+    extra narrow scans cost less than a write and a read.
     """
+    from ..session import CUT_LINEAGE_BYTES, estimated_bytes, write_through
+
     moments = supplier_moments(lineitem)
+    if cut_lineage is None:
+        cut_lineage = estimated_bytes(lineitem) > CUT_LINEAGE_BYTES
     if cut_lineage:
-        from ..session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(moments.sparkSession)
-        moments = moments.checkpoint(eager=True)
+        moments = write_through(moments, "supplier-moments")
     return surveys_from_moments(moments), params_from_moments(moments, base_year)
 
 
