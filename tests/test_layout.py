@@ -52,3 +52,24 @@ def test_block_shuffle_is_by_key_and_block(spark):
     bars = _bars(spark)
     plan = indicators_all(bars)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(symbol" in plan and "_blk" in plan
+
+
+def test_hot_series_spreads_over_tasks(spark):
+    """One series cut into blocks runs in several tasks, each holding at most a
+    block plus its halo and one chunk (a hot symbol never lands in one task)."""
+    bars = _bars(spark).filter(F.col("symbol") == "1-URGENT")
+    n = bars.count()
+    laid = layout(bars, Series(), back=64, ahead=0, block_rows=64, chunk_unit="day")
+    # AQE would merge these tiny partitions into one; at scale they are large
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_part = laid.select(F.spark_partition_id().alias("pid"), "_blk").groupBy("pid").agg(
+            F.countDistinct("_blk").alias("blocks"), F.count(F.lit(1)).alias("rows")
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(per_part) > 1
+    assert max(r["rows"] for r in per_part) < n
+    per_block = laid.groupBy("_blk").count().collect()
+    assert len(per_block) >= n // 64
+    assert max(r["count"] for r in per_block) <= 64 + 64 + 1
