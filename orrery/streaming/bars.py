@@ -25,7 +25,9 @@ def daily_bars_stream(orders: DataFrame, delay: str = "2 days") -> DataFrame:
     rules as :func:`orrery.sources.bars.bars_from_orders`)."""
     ev = orders.select(
         F.col("o_orderpriority").alias("symbol"),
-        F.col("o_orderdate").cast("timestamp").alias("ts"),
+        # event time = the order's day at 00:00 UTC, built from the day number so
+        # neither the watermark nor the day windows depend on the session time zone
+        F.timestamp_seconds(F.unix_date(F.to_date("o_orderdate")).cast("long") * 86400).alias("ts"),
         "o_orderkey", "o_totalprice",
     )
     agg = ev.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "1 day").alias("day")).agg(
@@ -35,7 +37,8 @@ def daily_bars_stream(orders: DataFrame, delay: str = "2 days") -> DataFrame:
         F.max_by("o_totalprice", "o_orderkey").alias("close"),
         F.count(F.lit(1)).alias("volume"),
     )
-    return agg.select(F.to_date(F.col("day.start")).alias("bar_date"), *[c for c in BAR_COLUMNS if c != "bar_date"]).select(
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("day.start")) / 86400).cast("int"))
+    return agg.select(day.alias("bar_date"), *[c for c in BAR_COLUMNS if c != "bar_date"]).select(
         *BAR_COLUMNS
     )
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF1
+from conftest import SF001, SF1
 from orrery.operators.indicators import INDICATOR_COLUMNS, indicators_all
 from orrery.plans.sequence import Series, layout, over_series
 from orrery.sources.bars import bars_from_orders
@@ -73,3 +73,20 @@ def test_hot_series_spreads_over_tasks(spark):
     per_block = laid.groupBy("_blk").count().collect()
     assert len(per_block) >= n // 64
     assert max(r["count"] for r in per_block) <= 64 + 64 + 1
+
+
+def test_stream_bars_do_not_depend_on_session_time_zone(spark):
+    """The streaming daily bars equal the batch bars' days in any session zone."""
+    from orrery.catalog.series import q_bars_stream_append
+
+    batch = {tuple(r) for r in _bars(spark, SF001).collect()}
+    seen = {}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            seen[tz] = {tuple(r) for r in q_bars_stream_append(spark, SF001).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen["UTC"] == seen["Asia/Tokyo"] == seen["America/Los_Angeles"]
+    assert seen["UTC"] and seen["UTC"] <= batch
