@@ -29,9 +29,36 @@ def feature_vector(df: DataFrame, cols: list[str], out: str = "features") -> Dat
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error").transform(df)
 
 
+def _size_mb(text: str) -> int:
+    """``"16g"`` / ``"512m"`` / ``"1t"`` -> MiB (a plain number is bytes, as in Spark)."""
+    t = text.strip().lower().rstrip("b")
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if t and t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    return int(float(t) / (1024 * 1024))
+
+
+def node_budget_mb(spark: SparkSession) -> int:
+    """Memory per pass for the forest's split statistics (``maxMemoryInMB``).
+
+    Every running task allocates its own statistics buffers, so the budget is
+    a quarter of the task JVM's memory (the driver in local mode, an executor
+    on a cluster) divided by the tasks it runs at once, kept between 16 MiB and
+    2 GiB.  It only decides how many nodes are grown per pass over the data,
+    not which splits are chosen.
+    """
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    if (conf.get("spark.master") or "").startswith("local"):
+        mem, slots = conf.get("spark.driver.memory") or "1g", sc.defaultParallelism
+    else:
+        mem, slots = conf.get("spark.executor.memory") or "1g", int(conf.get("spark.executor.cores") or "1")
+    return max(16, min(2048, _size_mb(mem) // (4 * max(1, slots))))
+
+
 def train_forest(train: DataFrame, cols: list[str], label: str = TARGET, *, num_trees: int = NUM_TREES,
                  max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 32,
-                 min_instances: int = 1, max_memory_mb: int = 2048) -> PipelineModel:
+                 min_instances: int = 1, max_memory_mb: int | None = None) -> PipelineModel:
     """M1: fit ``VectorAssembler -> RandomForestRegressor``.
 
     The training frame is persisted (memory, spilling to disk) for the
@@ -40,6 +67,8 @@ def train_forest(train: DataFrame, cols: list[str], label: str = TARGET, *, num_
     lets one pass grow many nodes of all trees at once: deep trees otherwise
     need one pass over the data per small group of nodes.
     """
+    if max_memory_mb is None:
+        max_memory_mb = node_budget_mb(train.sparkSession)
     va = VectorAssembler(inputCols=cols, outputCol="features")
     rf = RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol="prediction", numTrees=num_trees,
