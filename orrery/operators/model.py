@@ -42,7 +42,7 @@ def node_budget_mb(spark: SparkSession) -> int:
     """Memory per pass for the forest's split statistics (``maxMemoryInMB``).
 
     Every running task allocates its own statistics buffers, so the budget is
-    a quarter of the task JVM's memory (the driver in local mode, an executor
+    an eighth of the task JVM's memory (the driver in local mode, an executor
     on a cluster) divided by the tasks it runs at once, kept between 16 MiB and
     2 GiB.  It only decides how many nodes are grown per pass over the data,
     not which splits are chosen.
@@ -53,7 +53,7 @@ def node_budget_mb(spark: SparkSession) -> int:
         mem, slots = conf.get("spark.driver.memory") or "1g", sc.defaultParallelism
     else:
         mem, slots = conf.get("spark.executor.memory") or "1g", int(conf.get("spark.executor.cores") or "1")
-    return max(16, min(2048, _size_mb(mem) // (4 * max(1, slots))))
+    return max(16, min(2048, _size_mb(mem) // (8 * max(1, slots))))
 
 
 def train_forest(train: DataFrame, cols: list[str], label: str = TARGET, *, num_trees: int = NUM_TREES,
