@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.sequence import BLOCK, POS, SUB, SUB_ROWS, Series
@@ -39,40 +39,53 @@ def carry_span(alpha: float, sub_rows: int = SUB_ROWS, tol_exp: int = 30) -> int
     return int(math.ceil(tol_exp * math.log(10.0) / -math.log(a))) + 1
 
 
+def _dbl(v: float) -> str:
+    """A DOUBLE literal in Spark SQL text (exact: ``repr`` round-trips)."""
+    return f"{float(v)!r}D"
+
+
 def with_ewma(df: DataFrame, x: str, out: str, span: float, s: Series = Series(), *,
               alpha: float | None = None) -> DataFrame:
-    """Add ``out`` = exponential mean of column ``x`` (``adjust=False`` form)."""
+    """Add ``out`` = exponential mean of column ``x`` (``adjust=False`` form).
+
+    The expressions are written as SQL text: one call to the JVM per column
+    instead of one per node of the expression tree (the builder is on the
+    driver's path of every query that uses it).
+    """
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
     d = 1.0 - a
     S = SUB_ROWS
     big = d ** S
     m = carry_span(a)
-    q = F.col(POS) - F.col(SUB) * S
+    A, D, BIG = _dbl(a), _dbl(d), _dbl(big)
+    key, blk, sub, pos = (f"`{c}`" for c in (s.key, BLOCK, SUB, POS))
+    q = f"({pos} - {sub} * {S})"
+    xv = f"`{x}`"
     tmp = f"__{out}"
+    in_sub = f"PARTITION BY {key}, {blk}, {sub} ORDER BY {pos}"
     df = df.withColumns(
         {
-            f"{tmp}_local": F.lit(a) * F.pow(F.lit(d), q)
-            * F.sum(F.col(x) * F.pow(F.lit(d), -q)).over(s.sub.rowsBetween(Window.unboundedPreceding, 0)),
-            f"{tmp}_bfull": F.lit(a)
-            * F.sum(F.col(x) * F.pow(F.lit(d), F.lit(S - 1) - q)).over(
-                s.sub.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            f"{tmp}_local": F.expr(
+                f"{A} * pow({D}, {q}) * sum({xv} * pow({D}, -{q})) "
+                f"OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            ),
+            f"{tmp}_bfull": F.expr(
+                f"{A} * sum({xv} * pow({D}, {S - 1} - {q})) "
+                f"OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
             ),
-            f"{tmp}_x0": F.max(F.when(F.col(POS) == 0, F.col(x))).over(s.block),
+            f"{tmp}_x0": F.expr(f"max(CASE WHEN {pos} = 0 THEN {xv} END) OVER (PARTITION BY {key}, {blk})"),
         }
     )
-    carry_w = Window.partitionBy(s.key, BLOCK).orderBy(SUB).rangeBetween(-m, -1)
-    carries = F.collect_list(
-        F.when(q == S - 1, F.struct(F.col(SUB).alias("k"), F.col(f"{tmp}_bfull").alias("b")))
-    ).over(carry_w)
-    carry = F.aggregate(
-        carries,
-        F.col(f"{tmp}_x0") * F.pow(F.lit(big), F.col(SUB)),
-        lambda acc, e: acc + e["b"] * F.pow(F.lit(big), F.col(SUB) - 1 - e["k"]),
+    # carry into each sub-block from the previous m sub-blocks' totals, folded
+    # on the sub-block's first row only (the fold is an interpreted lambda)
+    carries = (
+        f"collect_list(CASE WHEN {q} = {S - 1} THEN named_struct('k', {sub}, 'b', `{tmp}_bfull`) END) "
+        f"OVER (PARTITION BY {key}, {blk} ORDER BY {sub} RANGE BETWEEN {m} PRECEDING AND 1 PRECEDING)"
     )
-    # the carry is constant inside a sub-block: fold it on the sub-block's first
-    # row only (the fold is an interpreted lambda) and spread it with a max
-    df = df.withColumn(f"{tmp}_c", F.when(q == 0, carry))
-    df = df.withColumn(f"{tmp}_c", F.max(f"{tmp}_c").over(
-        s.sub.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    keep = [c for c in df.columns if not c.startswith(tmp)]
-    return df.select(*keep, (F.pow(F.lit(d), q + 1) * F.col(f"{tmp}_c") + F.col(f"{tmp}_local")).alias(out))
+    carry = f"aggregate({carries}, `{tmp}_x0` * pow({BIG}, {sub}), (acc, e) -> acc + e.b * pow({BIG}, {sub} - 1 - e.k))"
+    df = df.withColumn(f"{tmp}_c", F.expr(f"CASE WHEN {q} = 0 THEN {carry} END"))
+    # ... and spread over the sub-block with a max
+    df = df.withColumn(f"{tmp}_c", F.expr(
+        f"max(`{tmp}_c`) OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"))
+    df = df.withColumn(out, F.expr(f"pow({D}, {q} + 1) * `{tmp}_c` + `{tmp}_local`"))
+    return df.drop(f"{tmp}_local", f"{tmp}_bfull", f"{tmp}_x0", f"{tmp}_c")
