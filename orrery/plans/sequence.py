@@ -86,53 +86,50 @@ def layout(
     if back > block_rows or ahead > block_rows:
         raise ValueError("halo larger than a block")
     key, order = series.key, series.order
-    rows = df.withColumn("_chunk", F.date_trunc(chunk_unit, F.col(order).cast("timestamp")))
+    # expressions as SQL text: one call into the JVM per column (this runs on
+    # the driver for every series query)
+    k, o = f"`{key}`", f"`{order}`"
+    rows = df.withColumn("_chunk", F.expr(f"date_trunc('{chunk_unit}', CAST({o} AS TIMESTAMP))"))
 
     counts = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
     # one ordered pass over the (small) chunk table: offsets, blocks, neighbours
-    wc = Window.partitionBy(key).orderBy("_chunk")
-    upto = wc.rowsBetween(Window.unboundedPreceding, 0)
-    after = wc.rowsBetween(1, Window.unboundedFollowing)
-    c = counts.withColumn("_off", F.sum("_cnt").over(upto) - F.col("_cnt"))
+    wc = f"PARTITION BY {k} ORDER BY _chunk"
+    upto = f"OVER ({wc} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    after = f"OVER ({wc} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    c = counts.withColumn("_off", F.expr(f"sum(_cnt) {upto} - _cnt"))
     c = c.withColumn("_cblk", F.expr(f"_off div {block_rows}"))
-    c = c.withColumn("_lag_blk", F.lag("_cblk").over(wc))
-    first = F.col("_lag_blk").isNull() | (F.col("_lag_blk") != F.col("_cblk"))
+    c = c.withColumn("_lag_blk", F.expr(f"lag(_cblk) OVER ({wc})"))
+    first = "(_lag_blk IS NULL OR _lag_blk != _cblk)"
     c = c.withColumns(
         {
-            "_bstart": F.max(F.when(first, F.col("_off"))).over(upto),
-            "_prev_blk": F.max(F.when(first, F.col("_lag_blk"))).over(upto),
-            "_next_start": F.min(F.when(first, F.col("_off"))).over(after),
-            "_next_blk": F.min(F.when(first, F.col("_cblk"))).over(after),
-            LENGTH: F.sum("_cnt").over(Window.partitionBy(key)),
+            "_bstart": F.expr(f"max(CASE WHEN {first} THEN _off END) {upto}"),
+            "_prev_blk": F.expr(f"max(CASE WHEN {first} THEN _lag_blk END) {upto}"),
+            "_next_start": F.expr(f"min(CASE WHEN {first} THEN _off END) {after}"),
+            "_next_blk": F.expr(f"min(CASE WHEN {first} THEN _cblk END) {after}"),
+            LENGTH: F.expr(f"sum(_cnt) OVER (PARTITION BY {k})"),
         }
     )
-    target = F.array_compact(
-        F.array(
-            F.struct(F.col("_cblk").alias("b"), F.lit(True).alias("own")),
-            F.when(
-                F.col("_next_blk").isNotNull() & (F.col("_off") + F.col("_cnt") > F.col("_next_start") - back),
-                F.struct(F.col("_next_blk").alias("b"), F.lit(False).alias("own")),
-            ),
-            F.when(
-                F.col("_prev_blk").isNotNull() & (F.col("_off") < F.col("_bstart") + ahead),
-                F.struct(F.col("_prev_blk").alias("b"), F.lit(False).alias("own")),
-            ),
-        )
+    # each chunk goes to its own block and, as halo, to the neighbouring blocks
+    # whose frames reach into it
+    target = F.expr(
+        "array_compact(array("
+        "named_struct('b', _cblk, 'own', true), "
+        f"CASE WHEN _next_blk IS NOT NULL AND _off + _cnt > _next_start - {back} "
+        "THEN named_struct('b', _next_blk, 'own', false) END, "
+        f"CASE WHEN _prev_blk IS NOT NULL AND _off < _bstart + {ahead} "
+        "THEN named_struct('b', _prev_blk, 'own', false) END))"
     )
     chunk_map = c.select(key, "_chunk", "_off", LENGTH, F.explode(target).alias("_t")).select(
         key, "_chunk", "_off", LENGTH, F.col("_t.b").alias(BLOCK), F.col("_t.own").alias(OWN)
     )
-    chunk_map = chunk_map.withColumn("_base", F.min("_off").over(Window.partitionBy(key, BLOCK))).drop("_off")
+    chunk_map = chunk_map.withColumn("_base", F.expr(f"min(_off) OVER (PARTITION BY {k}, {BLOCK})")).drop("_off")
 
     # hash-partition on (key, block) explicitly: rows arriving partitioned by
     # key alone would otherwise satisfy the window's clustering, leaving every
     # block of a hot key in one task
     laid = rows.join(chunk_map, [key, "_chunk"]).repartition(key, BLOCK)
-    wp = Window.partitionBy(key, BLOCK).orderBy(order)
-    laid = laid.withColumn(POS, F.row_number().over(wp) - 1)
-    return laid.withColumn(ORDINAL, F.col("_base") + F.col(POS)).withColumn(
-        SUB, F.expr(f"{POS} div {SUB_ROWS}")
-    )
+    laid = laid.withColumn(POS, F.expr(f"row_number() OVER (PARTITION BY {k}, {BLOCK} ORDER BY {o}) - 1"))
+    return laid.withColumn(ORDINAL, F.expr(f"_base + {POS}")).withColumn(SUB, F.expr(f"{POS} div {SUB_ROWS}"))
 
 
 def unlayout(df: DataFrame, keep_ordinal: bool = True, keep_length: bool = False) -> DataFrame:
