@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, quality
+from . import hosts, mixing, packing, quality, wavelet
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,13 @@ def op9(spark, sf_dir):
 @query("op10_url_filters")
 def op10(spark, sf_dir):
     return hosts.judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op3_wavelet_tokens")
+def op3(spark, sf_dir):
+    return wavelet.read_docs(spark, wavelet.write_tokens(read_table(spark, sf_dir, "documents")))
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"))
