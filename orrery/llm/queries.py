@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, packing, quality, wavelet
+from . import hosts, mixing, packing, quality, secrets, simhash, wavelet
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,13 @@ def op3(spark, sf_dir):
 @query("op4_best_fit_packing")
 def op4(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash_dedup")
+def op8(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_secret_scan")
+def op2(spark, sf_dir):
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
