@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, packing, quality, secrets, simhash, topk, wavelet
+from . import hosts, mixing, packing, passages, quality, secrets, simhash, topk, wavelet
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,25 @@ SELECT query_id, rank, vec_id, score FROM (
 """)
 def op6(spark, sf_dir):
     return topk.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_substring_dedup", """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 49], ' ') AS win FROM w, unnest(range(1, len(words) - 48)) AS t(pos)
+), f AS (SELECT win, min(doc_id) AS low FROM s GROUP BY win HAVING count(*) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (
+    SELECT s.doc_id, unnest(range(s.pos, s.pos + 50)) AS p FROM s JOIN f USING (win) WHERE s.doc_id > f.low) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS text FROM (
+    SELECT w.doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos, coalesce(places, []) AS places FROM w LEFT JOIN gone USING (doc_id))
+  WHERE NOT list_contains(places, pos) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
+def op7(spark, sf_dir):
+    return passages.remove_passages(read_table(spark, sf_dir, "documents"))
