@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, packing, passages, quality, secrets, simhash, topk, wavelet
+from . import hosts, mixing, packing, passages, quality, repeats, secrets, simhash, topk, wavelet
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 """)
 def op7(spark, sf_dir):
     return passages.remove_passages(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
