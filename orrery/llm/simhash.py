@@ -179,6 +179,7 @@ def links(fps: DataFrame, threshold: int = MAX_BITS) -> DataFrame:
     those of all links at ``threshold`` or fewer bits."""
     entries = fps.select("fp", Ring(threshold).entries("fp"))
     sizes = entries.groupBy("ring", "bucket").agg(F.count("*").alias("n"), F.max("exact").alias("any")).where("n > 1 AND any")
+    sizes = write_through(sizes, "buckets")  # a join of two plain exchanges, which can split a large bucket
     shared = entries.join(sizes.select("ring", "bucket", "n"), ["ring", "bucket"]).withColumn("parts", F.ceil(F.col("n") / BLOCK_ENTRIES))
     # a bucket in parts: every two parts meet in one block
     blocks = shared.withColumn("own", F.expr("pmod(xxhash64(fp, ring, bucket), parts)")).select(
