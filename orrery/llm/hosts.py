@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_through
+
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,7 +90,8 @@ def _strength(groups: DataFrame) -> DataFrame:
 
 def _shrunk(groups: DataFrame, parents: DataFrame) -> DataFrame:
     """``groups`` (name, parent, n, bad) with a, b: the beta posterior under the parent's mean."""
-    with_mean = groups.join(parents.select(F.col("name").alias("parent"), F.expr("a / (a + b)").alias("m")), "parent")
+    with_mean = write_through(groups.join(
+        parents.select(F.col("name").alias("parent"), F.expr("a / (a + b)").alias("m")), "parent"), "host-level")
     return with_mean.join(F.broadcast(_strength(with_mean))).selectExpr(  # one row by construction
         "name", "parent", "n", "bad", "k * m + bad AS a", "k * (1 - m) + n - bad AS b")
 
@@ -121,8 +124,8 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, suffixes=SUFFI
     own = own.withColumns({"rule": rule, "ruled": ruled})
     outcome = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(
         F.col("doc_id").alias("page_id")).agg(F.max(F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END")).alias("bad"))
-    outcomes = own.select("page_id", "host").join(outcome, "page_id", "left").groupBy("host").agg(
-        F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    outcomes = write_through(own.select("page_id", "host").join(outcome, "page_id", "left").groupBy("host").agg(
+        F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "host-outcomes")
     rated = reputations(outcomes, suffixes).selectExpr(
         "name AS host", "a / (a + b) AS bad_rate",
         f"a / (a + b) - {z}D * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound")
