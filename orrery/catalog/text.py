@@ -4,8 +4,8 @@
 Prompt texts come from ``documents`` (topic ``doc-<id>``); the prompt library
 holds the English documents, requests are the labelled documents, so
 non-English requests meet the unknown-topic rule.  The text client is a
-deterministic stand-in that reports the prompt length and fails on prompts
-over 15,000 characters; the whole text is always passed.
+deterministic stand-in that reports the prompt length and fails on
+prompts that hold a marker; the whole text is always passed, whatever its length.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from ..sources.sinks import stringify
 from .arrival import chain_sql, years_cte
 from .common import dbl, register, table
 
-MAX_CHARS = 15000
+MARKER = "***"
 LAND_BASE = 2025
 
 
-def length_client(prompt: str) -> str:
+def counting_client(prompt: str) -> str:
     """Deterministic stand-in for a text service."""
-    if len(prompt) > MAX_CHARS:
-        raise ValueError("prompt too long")
+    if MARKER in prompt:
+        raise ValueError("prompt holds a marker")
     return f"chars={len(prompt)}"
 
 
@@ -40,13 +40,13 @@ def prompts_of(spark, sf, english_only: bool):
 @register(
     "topic_batch_enrich",
     f"""SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS topic,
-               CASE WHEN length(text) > {MAX_CHARS} THEN '{E.ERROR_PREFIX}prompt too long'
+               CASE WHEN contains(text, '{MARKER}') THEN '{E.ERROR_PREFIX}prompt holds a marker'
                     ELSE 'chars=' || CAST(length(text) AS VARCHAR) END AS response
         FROM documents""",
 )
 def q_topic_batch_enrich(spark, sf):
     """The client over every (topic, prompt); failures captured per row."""
-    out = E.topic_batch_enrich(prompts_of(spark, sf, False), length_client)
+    out = E.topic_batch_enrich(prompts_of(spark, sf, False), counting_client)
     return out.select("topic", "response")
 
 
@@ -54,14 +54,14 @@ def q_topic_batch_enrich(spark, sf):
     "topic_prompts",
     f"""SELECT 'doc-' || CAST(l.doc_id AS VARCHAR) AS topic,
                CASE WHEN d.doc_id IS NULL THEN '{E.UNKNOWN_TOPIC}doc-' || CAST(l.doc_id AS VARCHAR)
-                    WHEN length(d.text) > {MAX_CHARS} THEN '{E.ERROR_ANALYZING}doc-' || CAST(l.doc_id AS VARCHAR) || ': prompt too long'
+                    WHEN contains(d.text, '{MARKER}') THEN '{E.ERROR_ANALYZING}doc-' || CAST(l.doc_id AS VARCHAR) || ': prompt holds a marker'
                     ELSE 'chars=' || CAST(length(d.text) AS VARCHAR) END AS response
         FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d ON d.doc_id = l.doc_id""",
 )
 def q_topic_prompts(spark, sf):
     """Labelled documents looked up in the English prompt library."""
     req = table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("topic"))
-    return E.topic_prompts(req, prompts_of(spark, sf, True), length_client)
+    return E.topic_prompts(req, prompts_of(spark, sf, True), counting_client)
 
 
 def landscape_of(spark, sf):

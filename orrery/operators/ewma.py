@@ -45,15 +45,19 @@ def _dbl(v: float) -> str:
 
 
 def with_ewma(df: DataFrame, x: str, out: str, span: float, s: Series = Series(), *,
-              alpha: float | None = None) -> DataFrame:
+              alpha: float | None = None, back: int = 1024) -> DataFrame:
     """Add ``out`` = exponential mean of column ``x`` (``adjust=False`` form).
 
+    ``back`` is the layout's halo; a span whose seed still matters after so many rows is refused.
+
     The expressions are written as SQL text: one call to the JVM per column
     instead of one per node of the expression tree (the builder is on the
     driver's path of every query that uses it).
     """
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
     d = 1.0 - a
+    if d ** back > 1e-16:
+        raise ValueError(f"span {span} needs a halo of {math.ceil(-16 * math.log(10) / math.log(d))} rows, not {back}")
     S = SUB_ROWS
     big = d ** S
     m = carry_span(a)

@@ -16,7 +16,7 @@ How rows get their block without a per-series window over the raw rows:
    (``date_trunc(chunk_unit, order)``) — a small table, partially aggregated;
 2. prefix sums over the chunk table give each chunk its first row ordinal
    ``_off``; ``_off div block_rows`` is the chunk's block;
-3. chunks near a block boundary are also sent to the neighbouring block (halo);
+3. chunks are also sent to all blocks whose frames reach into them (halo);
 4. the rows join the (small) chunk map — AQE turns this into a broadcast join
    when the map is small at run time, a shuffle join otherwise — and are
    numbered inside their block: ``rn = _base + row_number() - 1``.
@@ -83,8 +83,8 @@ def layout(
     (1024 also makes the exponential means exact to double precision) and
     ``ahead`` the longest lead.
     """
-    if back > block_rows or ahead > block_rows:
-        raise ValueError("halo larger than a block")
+    if back < 0 or ahead < 0:
+        raise ValueError("halo sizes must not be negative")
     key, order = series.key, series.order
     # expressions as SQL text: one call into the JVM per column (this runs on
     # the driver for every series query)
@@ -92,33 +92,27 @@ def layout(
     rows = df.withColumn("_chunk", F.expr(f"date_trunc('{chunk_unit}', CAST({o} AS TIMESTAMP))"))
 
     counts = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one ordered pass over the (small) chunk table: offsets, blocks, neighbours
+    # one ordered pass over the (small) chunk table: offsets, and blocks numbered without gaps
     wc = f"PARTITION BY {k} ORDER BY _chunk"
     upto = f"OVER ({wc} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    after = f"OVER ({wc} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-    c = counts.withColumn("_off", F.expr(f"sum(_cnt) {upto} - _cnt"))
-    c = c.withColumn("_cblk", F.expr(f"_off div {block_rows}"))
-    c = c.withColumn("_lag_blk", F.expr(f"lag(_cblk) OVER ({wc})"))
-    first = "(_lag_blk IS NULL OR _lag_blk != _cblk)"
+    c = counts.withColumn("_end", F.expr(f"sum(_cnt) {upto}")).withColumn("_off", F.expr("_end - _cnt"))
+    c = c.withColumn("_slot", F.expr(f"_off div {block_rows}"))
+    c = c.withColumn("_new", F.expr(f"CAST(coalesce(lag(_slot) OVER ({wc}) <> _slot, true) AS BIGINT)"))
+    c = c.withColumn("_cblk", F.expr(f"sum(_new) {upto}"))
     c = c.withColumns(
         {
-            "_bstart": F.expr(f"max(CASE WHEN {first} THEN _off END) {upto}"),
-            "_prev_blk": F.expr(f"max(CASE WHEN {first} THEN _lag_blk END) {upto}"),
-            "_next_start": F.expr(f"min(CASE WHEN {first} THEN _off END) {after}"),
-            "_next_blk": F.expr(f"min(CASE WHEN {first} THEN _cblk END) {after}"),
+            "_before": F.expr(f"coalesce(lag(_cblk) OVER ({wc}), _cblk)"),
+            "_after": F.expr(f"coalesce(lead(_cblk) OVER ({wc}), _cblk)"),
             LENGTH: F.expr(f"sum(_cnt) OVER (PARTITION BY {k})"),
         }
     )
-    # each chunk goes to its own block and, as halo, to the neighbouring blocks
-    # whose frames reach into it
-    target = F.expr(
-        "array_compact(array("
-        "named_struct('b', _cblk, 'own', true), "
-        f"CASE WHEN _next_blk IS NOT NULL AND _off + _cnt > _next_start - {back} "
-        "THEN named_struct('b', _next_blk, 'own', false) END, "
-        f"CASE WHEN _prev_blk IS NOT NULL AND _off < _bstart + {ahead} "
-        "THEN named_struct('b', _prev_blk, 'own', false) END))"
-    )
+    # A chunk goes to its own block and, as halo, to every block with a chunk that starts less than
+    # ``back`` rows after its end or ends less than ``ahead`` rows before its start, however short the
+    # blocks between.  A chunk's start is the end of the one before it, so both are sliding frames.
+    last = f"max(_after) OVER (PARTITION BY {k} ORDER BY _end RANGE BETWEEN CURRENT ROW AND {back - 1} FOLLOWING)" if back else "_cblk"
+    first = f"min(_before) OVER (PARTITION BY {k} ORDER BY _off RANGE BETWEEN {ahead - 1} PRECEDING AND CURRENT ROW)" if ahead else "_cblk"
+    c = c.withColumns({"_first": F.expr(first), "_last": F.expr(last)})
+    target = F.expr("transform(sequence(least(_first, _cblk), greatest(_last, _cblk)), b -> named_struct('b', b, 'own', b = _cblk))")
     chunk_map = c.select(key, "_chunk", "_off", LENGTH, F.explode(target).alias("_t")).select(
         key, "_chunk", "_off", LENGTH, F.col("_t.b").alias(BLOCK), F.col("_t.own").alias(OWN)
     )
@@ -127,7 +121,9 @@ def layout(
     # hash-partition on (key, block) explicitly: rows arriving partitioned by
     # key alone would otherwise satisfy the window's clustering, leaving every
     # block of a hot key in one task
-    laid = rows.join(chunk_map, [key, "_chunk"]).repartition(key, BLOCK)
+    chunk_map = chunk_map.withColumnsRenamed({key: "_mkey", "_chunk": "_mchunk"})
+    same = F.col(key).eqNullSafe(F.col("_mkey")) & F.col("_chunk").eqNullSafe(F.col("_mchunk"))  # null keys and orders stay
+    laid = rows.join(chunk_map, same).drop("_mkey", "_mchunk").repartition(key, BLOCK)
     laid = laid.withColumn(POS, F.expr(f"row_number() OVER (PARTITION BY {k}, {BLOCK} ORDER BY {o}) - 1"))
     return laid.withColumn(ORDINAL, F.expr(f"_base + {POS}")).withColumn(SUB, F.expr(f"{POS} div {SUB_ROWS}"))
 

@@ -36,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this setting names a shared folder and is used as is.  Only
-    when it is unset (local runs, tests) a private folder is created and set.
+    when it is unset in local mode (tests) a private folder is created and set;
+    on any other master that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="orrery-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -69,14 +72,3 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# Inputs above this estimated size are worth writing once instead of scanning
-# again per use (below it a re-scan is cheaper than a write and a read).
-CUT_LINEAGE_BYTES = 1 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (file sizes for scans), the
-    same statistic Spark uses to decide broadcasts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

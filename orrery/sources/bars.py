@@ -64,11 +64,14 @@ def bars_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def bars_from_events(events: DataFrame) -> DataFrame:
-    """Hourly bars from ``events``: one series per event type, ordered by ``bar_ts``."""
+    """Hourly bars from ``events``: one series per event type, ordered by ``bar_ts``.
+
+    The hour is cut on the zone-free timestamp, so no session zone's clock change merges hours."""
     order = F.struct("ts", "event_id")
+    ts = F.col("ts").cast("timestamp_ntz")
     return events.groupBy(
         F.col("event_type").alias("symbol"),
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("bar_ts"),
+        F.make_timestamp_ntz(F.year(ts), F.month(ts), F.day(ts), F.hour(ts), F.lit(0), F.lit(0)).alias("bar_ts"),
     ).agg(
         F.min_by("value", order).alias("open"),
         F.max("value").alias("high"),

@@ -119,25 +119,17 @@ def params_from_moments(moments: DataFrame, base_year: int) -> DataFrame:
     )
 
 
-def scenario_inputs(lineitem: DataFrame, base_year: int, cut_lineage: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(surveys, params)`` from one pass over ``lineitem``.
-
-    The two tables, and the many places of the arrival chain that use them,
-    need different columns of the per-supplier statistics; Catalyst prunes each
-    use separately, so without a cut every use would scan ``lineitem`` again.
-    With ``cut_lineage`` the statistics (one row per flag and supplier) are
-    written once as a table in the shared checkpoint folder and every use
-    reads that.  By default (``None``) this happens when the optimizer's size
-    estimate of ``lineitem`` exceeds ``CUT_LINEAGE_BYTES``: on small inputs the
-    extra narrow scans cost less than a write and a read.
+def scenario_inputs(lineitem: DataFrame, base_year: int) -> tuple[DataFrame, DataFrame]:
+    """``(surveys, params)`` from one pass over ``lineitem``, at every size.
+
+    The two tables, and the many places of the arrival chain that use them, need different columns of
+    the per-supplier statistics; Catalyst prunes each use separately, so without a cut every use would
+    scan ``lineitem`` again.  The statistics (one row per flag and supplier) are therefore written once
+    as a table in the shared checkpoint folder and every use reads that.
     """
-    from ..session import CUT_LINEAGE_BYTES, estimated_bytes, write_through
+    from ..session import write_through
 
-    moments = supplier_moments(lineitem)
-    if cut_lineage is None:
-        cut_lineage = estimated_bytes(lineitem) > CUT_LINEAGE_BYTES
-    if cut_lineage:
-        moments = write_through(moments, "supplier-moments")
+    moments = write_through(supplier_moments(lineitem), "supplier-moments")
     return surveys_from_moments(moments), params_from_moments(moments, base_year)
 
 
@@ -165,10 +157,9 @@ def growth_params_table(params: DataFrame) -> DataFrame:
 def exposure_plan(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Forecast plan ``(symbol, scenario_id)``: a series is forecast under the
     scenarios its own line items carry (order priority x return flag seen on
-    the same order).  Line items are first reduced to one row per order with
-    the set of its flags (partial aggregation; the set is bounded by the
-    number of distinct flags), so that side is already partitioned by the
-    order key when it meets the equi join."""
+    the same order).  Line items are first reduced to their distinct (order,
+    flag) pairs, a hash aggregate with map-side partials, before they meet the
+    equi join."""
     o = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("symbol"))
-    li = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_returnflag").alias("_flags"))
-    return o.join(li, "k").select("symbol", F.explode("_flags").alias("scenario_id")).distinct()
+    li = lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("scenario_id")).distinct()
+    return o.join(li, "k").select("symbol", "scenario_id").where("scenario_id IS NOT NULL").distinct()

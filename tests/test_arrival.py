@@ -73,7 +73,7 @@ def test_scenario_inputs_written_once_equal_direct(spark):
 
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     direct = [SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, 2025)]
-    cut = SC.scenario_inputs(li, 2025, cut_lineage=True)
+    cut = SC.scenario_inputs(li, 2025)
     for a, b in zip(direct, cut):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     post = A.posterior_moments(*cut)

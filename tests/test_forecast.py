@@ -1,27 +1,22 @@
-"""Forecast path: closed form equals the reference's day loop; summary rules."""
+"""Forecast path: closed form equals the running product of step factors; summary rules."""
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from orrery.operators import forecast as G
 
 
-def _loop(last_close, days, rates):
-    """The day loop as written in the reference's description (independent restatement)."""
-    p = [0.0] * days
-    p[0] = last_close
-    for i in range(1, days):
-        if i % 30 == 0:
-            r = rates[i // 30]
-            for j in range(i, min(i + 30, days)):
-                p[j] = p[j - 1] * (1 + r) ** (1 / 30)
-        elif p[i] == 0:
-            p[i] = p[i - 1]
-    return p
+def _prices(last_close, steps, block_rates):
+    """Price after each step by the definition: from step 30 on every step grows by the 30th root of
+    its 30-step block's growth factor; the product of all factors so far scales the last close."""
+    step = np.arange(steps)
+    factors = np.where(step < 30, 1.0, (1.0 + np.array([block_rates[b] for b in step // 30])) ** (1 / 30))
+    return last_close * np.cumprod(factors)
 
 
-def test_closed_form_equals_loop(spark):
+def test_closed_form_equals_running_product(spark):
     start = spark.createDataFrame(
         [("S", "base", dt.date(2024, 11, 20), 100.0, 0.01)],
         "symbol string, scenario_id string, bar_date date, close double, predicted_return double",
@@ -38,11 +33,16 @@ def test_closed_form_equals_loop(spark):
         year = (dt.date(2024, 11, 21) + dt.timedelta(days=30 * b)).year
         factor = {2024: 0.02, 2025: 0.03}.get(year, 0.03)  # later years fall back to the last row
         rates[b] = 0.01 * (1 + factor)
-    want = _loop(100.0, days, rates)
+    want = _prices(100.0, days, rates)
     for r, w in zip(path, want):
         assert r.forecasted_close == pytest.approx(w, rel=1e-12)
     assert all(r.forecasted_close == 100.0 for r in path[:30])
     assert path[0].forecast_date == dt.date(2024, 11, 21)
+    # by hand: step 30 is one step into the first growing block, step 59 its last, step 60 one further
+    grown = 100.0 * (1 + rates[1])
+    assert path[30].forecasted_close == pytest.approx(100.0 * (1 + rates[1]) ** (1 / 30), rel=1e-12)
+    assert path[59].forecasted_close == pytest.approx(grown, rel=1e-12)
+    assert path[60].forecasted_close == pytest.approx(grown * (1 + rates[2]) ** (1 / 30), rel=1e-12)
 
 
 def test_fallback_uses_last_row_for_earlier_years(spark):

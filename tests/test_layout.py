@@ -90,3 +90,56 @@ def test_stream_bars_do_not_depend_on_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert seen["UTC"] == seen["Asia/Tokyo"] == seen["America/Los_Angeles"]
     assert seen["UTC"] and seen["UTC"] <= batch
+
+
+def _uneven(spark, sizes, base="2001-01-01"):
+    """One series with ``sizes[m]`` rows in month m, and the plain pandas frame."""
+    rows = []
+    for m, n in enumerate(sizes):
+        first = pd.Timestamp(base) + pd.DateOffset(months=m)
+        rows += [("S", (first + pd.Timedelta(minutes=k)).to_pydatetime(), float((7 * len(rows) + 3 * k) % 101)) for k in range(n)]
+    return spark.createDataFrame(rows, "symbol string, bar_ts timestamp, x double"), pd.DataFrame(rows, columns=["symbol", "bar_ts", "x"])
+
+
+def test_halo_reaches_over_short_blocks(spark):
+    """Chunks nearly as big as a block make short blocks behind them; frames still see all rows."""
+    from orrery.operators import windows as W
+
+    df, plain = _uneven(spark, [99, 95, 13, 50, 60])
+    s = Series("symbol", "bar_ts")
+    def build(d, s):
+        return d.withColumns({"mean50": F.avg("x").over(s.rows(50)), "lag21": F.lag("x", 21).over(s.w), "lead30": F.lead("x", 30).over(s.w)})
+    got = over_series(df, build, s, back=60, ahead=40, block_rows=100).toPandas().sort_values("bar_ts")
+    x = plain["x"]
+    for column, want in (("mean50", x.rolling(50, min_periods=1).mean()), ("lag21", x.shift(21)), ("lead30", x.shift(-30))):
+        assert np.allclose(got[column].astype(float).values, want.values, equal_nan=True), column
+
+
+def test_null_keys_and_orders_stay(spark):
+    df = spark.createDataFrame([(None, None, 1.0), (None, pd.Timestamp("2001-01-02").to_pydatetime(), 2.0), ("S", None, 3.0)],
+                               "symbol string, bar_ts timestamp, x double")
+    out = over_series(df, lambda d, s: d, Series("symbol", "bar_ts"), back=2, ahead=1, block_rows=2, keep_ordinal=True)
+    assert sorted((r.x, r.rn) for r in out.collect()) == [(1.0, 0), (2.0, 1), (3.0, 0)]
+
+
+def test_long_ema_span_is_refused(spark):
+    import pytest
+
+    from orrery.operators.ewma import with_ewma
+
+    df, _ = _uneven(spark, [10])
+    with pytest.raises(ValueError):
+        over_series(df, lambda d, s: with_ewma(d, "x", "y", 2000, s), Series("symbol", "bar_ts"))
+
+
+def test_hourly_bars_keep_hours_apart_at_a_clock_change(spark):
+    from orrery.sources.bars import bars_from_events
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        events = spark.sql("""SELECT * FROM VALUES (1L, 'view', TIMESTAMP_NTZ'2023-03-12 02:15:00', 1D),
+            (2L, 'view', TIMESTAMP_NTZ'2023-03-12 03:15:00', 2D) AS t(event_id, event_type, ts, value)""")
+        assert bars_from_events(events).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
