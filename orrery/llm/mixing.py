@@ -14,8 +14,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_through
 from .common import ROW, carried, carry
 
+BROADCAST_SOURCES = 10_000  # sources up to which their rates are broadcast
+SALTS = 64
 HEX_DIGITS = 13  # 52 bits of a hash make a uniform number in [0, 1)
 
 
@@ -69,8 +72,14 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 0, id_column: str =
     doc = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     rows = carry(docs, _doc=doc, _source=F.col(source_column).cast("string"),
                  _u=uniform(doc, F.lit(str(seed))))
-    cdfs = rates.select(F.col("source").alias("_rated"), F.expr(CDF).alias("_cdf"))
-    drawn = rows.join(cdfs, F.col("_source").eqNullSafe(F.col("_rated"))).withColumn(
+    cdfs = write_through(rates.select(F.col("source").alias("_rated"), F.expr(CDF).alias("_cdf")), "mix-rates")
+    if cdfs.count() <= BROADCAST_SOURCES:
+        met = rows.join(F.broadcast(cdfs), F.col("_source").eqNullSafe(F.col("_rated")))
+    else:  # every source in SALTS parts, so a hot one is not gathered in one task
+        parts = cdfs.withColumn("_rated_part", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        met = rows.withColumn("_part", F.expr(f"pmod(xxhash64(_doc), {SALTS})")).join(
+            parts, F.col("_source").eqNullSafe(F.col("_rated")) & (F.col("_part") == F.col("_rated_part")))
+    drawn = met.withColumn(
         "_count", F.expr("size(filter(_cdf, c -> c <= _u))")).where("_count > 0")
     copies = drawn.select(ROW, "_doc", F.explode(F.expr("sequence(0, _count - 1)")).alias("copy"))
     keyed = copies.select(ROW, "copy", F.md5(F.concat_ws(":", F.col("_doc"), F.col("copy").cast("string"),
