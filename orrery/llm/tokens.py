@@ -20,9 +20,8 @@ REMEMBERED = 1_500_000
 _SPACE = "\t-\r \x85\xa0"
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
+LATIN = re.compile(f" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACE}{_LETTER}{_NUMBER}]+| ?[{_NUMBER}]+"
                    f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-BEYOND_LATIN = re.compile("[^\x00-\xff]")
 # All white space of the pattern.  Cuts only where any text is cut, so a piece may hold several words' parts.
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ROUGH = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
@@ -35,6 +34,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)}
 
 
+def _in_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids as the library gives them for ``encode(text, add_special_tokens=False)``."""
 
@@ -46,7 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        self.specials = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
+        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         letters = _byte_letters()
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
         self.between = letters[0]  # the letter of byte 0 stands between pieces
@@ -78,7 +85,7 @@ class Encoder:
         for text in texts:
             chunk.append(text or "")
             size += len(chunk[-1])
-            if size > 1 << 20:
+            if size > 1 << 16:
                 out += self._encode(chunk)
                 chunk, size = [], 0
         return out + self._encode(chunk)
@@ -87,14 +94,14 @@ class Encoder:
         flat: list[str] = []
         ends, special, rough = [], {}, set()
         for k, text in enumerate(texts):
-            if self.specials.search(text):
+            if any(x in text for x in self.specials):
                 special[k] = self._whole(text)
-            elif BEYOND_LATIN.search(text):
+            elif _in_latin(text):
+                flat += LATIN.findall(text)
+            else:
                 pieces = ROUGH.findall(text)
                 rough.update(pieces)
                 flat += pieces
-            else:
-                flat += LATIN.findall(text)
             ends.append(len(flat))
         new = list(set(flat).difference(self.memory))
         if new:

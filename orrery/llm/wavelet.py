@@ -49,7 +49,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(seen) <= 1 << 16 else np.uint32
         order, planes, counts, zeros = renumber.astype(kind)[ids], [], [], []
         for bit in reversed(range(max(1, int(len(seen) - 1).bit_length()))):
-            ones = (order & kind(1 << bit)).view(f"i{order.itemsize}") != 0
+            ones = (order & kind(1 << bit)) != 0
             packed = np.packbits(ones, bitorder="little")
             planes.append(packed)
             counts.append(cls._count(packed))
