@@ -244,7 +244,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = named(docs, id_column, text_column)
     table = run_table(rows, _measure(least, parts), "repeat-runs")
     occ = occurrences(table)
-    often = occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join has two plain exchanges and can split a frequent anchor
+    often = write_through(occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-anchors")
     found = write_through(occ.join(often, "h", "left_semi"), "repeat-candidates")
     distinct = write_through(found.groupBy("h", "rd").agg(
         F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("k").alias("k"), F.first("loc").alias("loc")), "repeat-distinct")
