@@ -59,7 +59,8 @@ def merged_sketch(occ: DataFrame) -> DataFrame:
 
 def estimated_repeated(occ: DataFrame) -> DataFrame:
     """The runs whose anchor is estimated at two or more by every row of the merged sketch."""
-    often = merged_sketch(occ).where("n > 1").select("cell")
+    # written, so that the joins have two plain exchanges and can split a frequent anchor
+    often = write_through(merged_sketch(occ).where("n > 1").select("cell"), "passage-cells")
     for row in range(SKETCH_ROWS):
         mine = often.where(f"cell & 255 = {row}").withColumnRenamed("cell", f"c{row}")
         occ = occ.withColumn(f"c{row}", F.expr(_cell(row))).join(mine, f"c{row}", "left_semi").drop(f"c{row}")
@@ -127,13 +128,14 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     table = run_table(rows, _measure(window, gram), "passage-runs")
     found = write_through(estimated_repeated(occurrences(table).where("doc_id IS NOT NULL")), "passage-candidates")
     distinct = write_through(found.groupBy("h", "rd").agg(F.min("doc_id").alias("low")), "passage-distinct")
-    shared = distinct.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    shared = write_through(distinct.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "passage-anchors")
     placed = found.join(distinct, ["h", "rd"])
     whole = placed.where("doc_id > low").select("doc_id", "k", "loc")
     first = placed.where("doc_id = low").join(shared, "h", "left_semi")
     windows = write_through(with_text(rows, per_row(first, "loc")).mapInArrow(
         _digests(window), "doc_id long, k long, w1 long, w2 long, at long"), "passage-windows")
-    lows = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"))
+    lows = write_through(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(
+        "low < high").drop("high"), "passage-firsts")
     late = windows.join(lows, ["w1", "w2"]).where("doc_id > low").select("doc_id", "k", (F.col("at") * LOC).alias("loc"))
     removed = with_text(rows, per_row(whole.unionByName(late), "loc")).mapInArrow(
         _remove(window), "doc_id long, k long, removed long, kept string")
