@@ -47,7 +47,44 @@ def op9(spark, sf_dir):
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
-@query("op10_url_filters")
+def _level(name: str, groups: str, parents: str) -> str:
+    """A level's posterior from its groups (name, parent, n, bad) and its parents (name, a, b)."""
+    return f"""
+{name}_m AS (SELECT g.*, p.a / (p.a + p.b) AS m FROM {groups} g JOIN {parents} p ON p.name = g.parent),
+{name}_t AS (SELECT parent, sum(n) AS n, sum(n * n) AS nn, count(*) AS g,
+  sum(CASE WHEN n > 0 THEN n * power(bad / n - m, 2) / (m * (1 - m)) ELSE 0 END) AS s FROM {name}_m GROUP BY parent),
+{name}_k AS (SELECT coalesce(least(greatest(CASE WHEN x > 0 AND y > 0 THEN y / x - 1 ELSE 10000 END, 1), 10000), 10000) AS k
+  FROM (SELECT sum(s) - sum(g - 1) AS x, sum(CASE WHEN n > 0 THEN n - nn / n ELSE 0 END) - sum(g - 1) AS y FROM {name}_t)),
+{name} AS (SELECT name, parent, k * m + bad AS a, k * (1 - m) + n - bad AS b FROM {name}_m, {name}_k)"""
+
+
+_PART = "regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULES = sorted(hosts.RULES, key=lambda r: (len(r.rule), len(r.host), r.rule), reverse=True)
+_SUFFIX = " ".join(f"WHEN host = '{x}' OR ends_with(host, '.{x}') THEN '{x}'" for x in sorted(hosts.SUFFIXES, key=len, reverse=True))
+
+
+@query("op10_url_filters", f"""
+WITH own AS (
+  SELECT page_id, coalesce(translate({_PART.format(1)}, '{hosts.UPPER}', '{hosts.LOWER}'), '') AS host, coalesce({_PART.format(2)}, '') AS path FROM pages
+), outcome AS (
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
+), h AS (
+  SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM own LEFT JOIN outcome USING (page_id) GROUP BY host
+), s AS (SELECT *, CASE {_SUFFIX} ELSE split_part(host, '.', -1) END AS suffix FROM h),
+r AS (SELECT *, split_part(left(host, greatest(length(host) - length(suffix) - 1, 0)), '.', -1) AS label FROM s),
+host_g AS (SELECT host AS name, CASE WHEN label = '' THEN host ELSE label || '.' || suffix END AS parent, suffix, n, bad FROM r),
+domain_g AS (SELECT parent AS name, suffix AS parent, sum(n) AS n, sum(bad) AS bad FROM host_g GROUP BY 1, 2),
+top_g AS (SELECT parent AS name, '' AS parent, sum(n) AS n, sum(bad) AS bad FROM domain_g GROUP BY 1),
+root AS (SELECT '' AS name, {hosts.PRIOR[0]} + coalesce(sum(bad), 0) AS a, {hosts.PRIOR[1]} + coalesce(sum(n - bad), 0) AS b FROM top_g),
+{_level('tops', 'top_g', 'root')}, {_level('domains', 'domain_g', 'tops')}, {_level('hosts_p', 'host_g', 'domains')},
+rated AS (SELECT name, a / (a + b) AS rate, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM hosts_p)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_FITS.format(r.host, r.path)} THEN '{r.rule}'" for r in _RULES)} END AS rule,
+  CASE {" ".join(f"WHEN {_FITS.format(r.host, r.path)} THEN '{r.verdict}'" for r in _RULES)} WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  round(rate, 6) AS bad_rate, round(low, 6) AS lower_bound
+FROM own LEFT JOIN rated ON rated.name = own.host
+""")
 def op10(spark, sf_dir):
     return hosts.judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
