@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import write_through
 from . import anchors
 from .passages import _covered
-from .runs import LOC, completed, named, occurrences, per_row, run_table, with_text
+from .runs import LOC, completed, named, occurrences, packed, per_row, run_table, unpacked, with_text
 
 MINIMUM = 200  # bytes
 GRAM_PARTS = 4  # 16-byte grams that make an anchor's gram
@@ -143,7 +143,7 @@ def _texts(least: int, parts: int, hot: int):
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
-                data = batch.column(2)[row].as_py().encode()
+                data = unpacked(batch.column(2)[row].as_py())
                 for f in batch.column(3)[row].as_py():
                     first, windows = f["loc"] // LOC, f["loc"] % LOC + 1
                     if f["c"] <= hot:
@@ -219,7 +219,7 @@ def _remove(least: int):
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
-                data = np.frombuffer(batch.column(2)[row].as_py().encode(), np.uint8)
+                data = np.frombuffer(unpacked(batch.column(2)[row].as_py()), np.uint8)
                 found = batch.column(3)[row].values
                 a, n = (found.field(x).to_numpy() for x in ("a", "len"))
                 gone = _covered(len(data), a, a + n - 1 + least)
@@ -252,13 +252,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     per_anchor = distinct.groupBy("h").agg(F.count("*").alias("c"))
     contents = distinct.join(per_anchor, "h")
     meeting = contents.where("c > 1").select("doc_id", "k", "h", "rd", "n", "loc", "c")
-    texts = with_text(rows, per_row(meeting, "h", "rd", "n", "loc", "c")).mapInArrow(
+    texts = with_text(packed(rows), per_row(meeting, "h", "rd", "n", "loc", "c")).mapInArrow(
         _texts(least, parts, hot), "h long, part long, rd long, n long, skip long, windows long, data binary")
     dealt = texts.repartition("h", "part").sortWithinPartitions("h", "part")
     expanded = dealt.mapInArrow(_expand(least), "h long, rd long, a long, len long")
     alone = contents.where("c = 1 AND n > 1").select("h", "rd", F.lit(0).cast("long").alias("a"), (F.col("loc") % LOC + 1).alias("len"))
     spans = write_through(expanded.unionByName(alone), "repeat-spans")
     hits = found.join(spans, ["h", "rd"]).select("doc_id", "k", (F.floor(F.col("loc") / LOC) + F.col("a")).alias("a"), "len")
-    removed = with_text(rows, per_row(hits, "a", "len")).mapInArrow(_remove(least), "doc_id long, k long, removed long, spans long, kept string")
+    removed = with_text(packed(rows), per_row(hits, "a", "len")).mapInArrow(_remove(least), "doc_id long, k long, removed long, spans long, kept string")
     return completed(table, removed, {"n_bytes": F.col("size"), "n_removed": F.coalesce("removed", F.lit(0)),
                                       "n_spans": F.coalesce("spans", F.lit(0)), "kept_sha256": F.coalesce("kept", "sha256")})

@@ -80,6 +80,29 @@ def with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, same_row(rows, found)).select(rows["doc_id"], rows["k"], "text", "found")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``named`` rows with their whole texts as compressed UTF-8 bytes, so that a shuffle of them is
+    about as small as the stored table."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = [press(text.as_py().encode()) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, k long, text binary")
+
+
+def unpacked(text: bytes) -> bytes:
+    """The UTF-8 bytes of a text of ``packed``."""
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(text)
+
+
 def completed(table: DataFrame, changed: DataFrame, extra: dict[str, Column]) -> DataFrame:
     """``table`` with ``changed``'s removals where a row has some; repeated rows share theirs."""
     once = changed.dropDuplicates(NAMES)
