@@ -7,6 +7,7 @@ once per Python worker by the tokenizers library, and its ids are joined from me
 
 from __future__ import annotations
 
+import contextlib
 import re
 import threading
 
@@ -96,22 +97,27 @@ class Encoder:
         for k, text in enumerate(texts):
             if any(x in text for x in self.specials):
                 special[k] = self._whole(text)
-            elif _in_latin(text):
+            elif text.isascii() or _in_latin(text):
                 flat += LATIN.findall(text)
             else:
                 pieces = ROUGH.findall(text)
                 rough.update(pieces)
                 flat += pieces
             ends.append(len(flat))
-        new = list(set(flat).difference(self.memory))
-        if new:
+        ids = list(map(self.memory.get, flat))
+        missing, at = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                at = ids.index(None, at + 1)
+                missing.append(at)
+        if missing:
+            new = list({flat[at] for at in missing})
             if len(self.memory) + len(new) > REMEMBERED:
                 self.memory.clear()
-                new = list(set(flat))
             self._learn(new, rough)
-        known = self.memory.__getitem__
-        return [special[k] if k in special else b"".join(map(known, flat[a:b]))
-                for k, (a, b) in enumerate(zip([0, *ends], ends))]
+            for at in missing:
+                ids[at] = self.memory[flat[at]]
+        return [special[k] if k in special else b"".join(ids[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
