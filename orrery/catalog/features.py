@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -23,17 +24,22 @@ from .series import INDICATORS_SQL, IND_ROUND
 
 S = Series("symbol", "bar_date")
 LAND_BASE = 2025
-LAND_SCENARIO = "N"
 
 F1_ROUND = {"ma50": 6, "ma200": 6, "rsi": 6, "volatility": 6, **{f"momentum_{k}": 6 for k in FE.MOMENTUM_PERIODS},
             "agi_probability": 6, FE.TARGET: 6}
 
 
 def landscape_of(spark, sf):
-    """U4 for the feature constants: scenario N at base year 2025."""
+    """U4 for the feature constants at base year 2025: per symbol, all scenarios it is exposed to."""
     li = table(spark, sf, "lineitem")
     post = A.posterior_moments(*SC.scenario_inputs(li, LAND_BASE))
-    return landscape(A.horizon_probability(post)).filter(F.col("scenario_id") == LAND_SCENARIO)
+    plan = SC.exposure_plan(table(spark, sf, "orders"), li)
+    return plan.join(landscape(A.horizon_probability(post)), "scenario_id")
+
+
+def f0_of(spark, sf):
+    """F1 without the scenarios' constants: what the splits are made on."""
+    return FE.features_pipeline(orders_bars(spark, sf), None, S)
 
 
 def f1_of(spark, sf):
@@ -66,25 +72,26 @@ def _sel(cols, spec):
     return ", ".join(f"round({c}, {spec[c]}) AS {c}" if c in spec else c for c in cols)
 
 
-F1_COLS = ["symbol", "bar_date", *FE.feature_columns(), FE.TARGET]
+F0_COLS = ["symbol", "bar_date", *FE.feature_columns(constants=False), FE.TARGET]
+F1_COLS = ["symbol", "scenario_id", "bar_date", *FE.feature_columns(), FE.TARGET]
 F1_SQL_BODY = (
     INDICATORS_SQL
     + ", "
     + chain_sql(LAND_BASE)
     + years_cte("ypl", 0, 15)
     + f""",
-land AS (SELECT {dbl(0.75)} AS ai_sentiment, cumulative_probability AS agi_probability
-         FROM ypl WHERE year = {LAND_BASE + 5} AND scenario_id = '{LAND_SCENARIO}'),
+land AS (SELECT symbol, scenario_id, {dbl(0.75)} AS ai_sentiment, cumulative_probability AS agi_probability
+         FROM ypl JOIN (SELECT DISTINCT o_orderpriority AS symbol, l_returnflag AS scenario_id
+                        FROM orders JOIN lineitem ON l_orderkey = o_orderkey) USING (scenario_id)
+         WHERE year = {LAND_BASE + 5}),
 raw AS (
   SELECT b.symbol, b.bar_date, b.open, b.high, b.low, b.close, b.volume, a.ma50, a.ma200, a.rsi, a.volatility,
          {lag_sql(False)}
   FROM bars b JOIN all_ind a USING (symbol, bar_date)
   WINDOW w AS (PARTITION BY b.symbol ORDER BY b.bar_date)
 ),
-f1 AS (
-  SELECT raw.*, land.ai_sentiment, land.agi_probability FROM raw CROSS JOIN land
-  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in F1_COLS)}
-)"""
+f0 AS (SELECT * FROM raw WHERE {" AND ".join(f"{c} IS NOT NULL" for c in F0_COLS)}),
+f1 AS (SELECT f0.*, land.scenario_id, land.ai_sentiment, land.agi_probability FROM f0 JOIN land USING (symbol))"""
 )
 
 
@@ -176,14 +183,14 @@ def q_drop_any_null(spark, sf):
 @register(
     "constant_features",
     F1_SQL_BODY.split(",\nraw AS (")[0]
-    + f""" SELECT b.symbol, b.bar_date, land.ai_sentiment, round(land.agi_probability, 6) AS agi_probability
-           FROM bars b CROSS JOIN land""",
+    + f""" SELECT b.symbol, land.scenario_id, b.bar_date, land.ai_sentiment, round(land.agi_probability, 6) AS agi_probability
+           FROM bars b JOIN land USING (symbol)""",
 )
 def q_constant_features(spark, sf):
-    """The two landscape scalars on every bar (one-row broadcast)."""
+    """The two landscape scalars of every scenario on every bar."""
     b = orders_bars(spark, sf).select("symbol", "bar_date")
     out = FE.with_constants(b, landscape_of(spark, sf))
-    return out.select("symbol", "bar_date", "ai_sentiment", F.round("agi_probability", 6).alias("agi_probability"))
+    return out.select("symbol", "scenario_id", "bar_date", "ai_sentiment", F.round("agi_probability", 6).alias("agi_probability"))
 
 
 REPORT_YEARS = (2030, 2035, 2040, 2050, 2060)
@@ -262,17 +269,17 @@ def _split_sql(rule: str) -> str:
     return F1_SQL_BODY + f"""
     SELECT symbol, bar_date, rn >= {n_train} AS is_test FROM (
       SELECT symbol, bar_date, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS rn,
-             count(*) OVER (PARTITION BY symbol) AS n FROM f1)"""
+             count(*) OVER (PARTITION BY symbol) AS n FROM f0)"""
 
 
 @register("chronological_split_ceil", _split_sql("ceil"))
 def q_split_ceil(spark, sf):
-    return FE.with_split(f1_of(spark, sf), S, 0.2, "ceil").select("symbol", "bar_date", "is_test")
+    return FE.with_split(f0_of(spark, sf), S, 0.2, "ceil").select("symbol", "bar_date", "is_test")
 
 
 @register("chronological_split_floor", _split_sql("floor"))
 def q_split_floor(spark, sf):
-    return FE.with_split(f1_of(spark, sf), S, 0.2, "floor").select("symbol", "bar_date", "is_test")
+    return FE.with_split(f0_of(spark, sf), S, 0.2, "floor").select("symbol", "bar_date", "is_test")
 
 
 @register(
@@ -304,7 +311,7 @@ STORE_START, STORE_END = dt.date(1997, 1, 1), dt.date(1999, 12, 31)
 def q_bars_store_roundtrip(spark, sf):
     """S3: write the bar store partitioned by symbol, read two tickers back
     (partition pruning) for a date range (pushed filter)."""
-    path = scratch_path(spark, "bar_store")
+    path = scratch_path(spark, f"bar-store-{uuid.uuid4().hex}")
     B.write_bar_store(orders_bars(spark, sf), path)
     return B.read_bar_store(spark, path, STORE_SYMBOLS, STORE_START, STORE_END)
 

@@ -11,6 +11,8 @@ blocks in 2002 join their own year.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import arrival as A
@@ -200,7 +202,7 @@ def q_milestones(spark, sf):
     return m.select("symbol", "scenario_id", "step", "forecast_date", "label", rr("forecasted_close", 2))
 
 
-def _summary_sql() -> str:
+def summary_sql() -> str:
     cols = []
     for label, d in G.HORIZONS.items():
         if d < DAYS:
@@ -217,7 +219,7 @@ def _summary_sql() -> str:
     )
 
 
-@register("horizon_summary", _summary_sql())
+@register("horizon_summary", summary_sql())
 def q_horizon_summary(spark, sf):
     start = start_of(spark, sf)
     s = G.horizon_summary(G.forecast_path(start, impact_of(spark, sf), DAYS), start, DAYS)
@@ -243,7 +245,7 @@ def q_forecast_sink(spark, sf):
     scratch folder and read it back."""
     from ..sources.sinks import write_forecast
 
-    path = scratch_path(spark, "forecast_sink")
+    path = scratch_path(spark, f"forecast-{uuid.uuid4().hex}")
     write_forecast(path_of(spark, sf), path)
     back = spark.read.parquet(path)
     return back.select("symbol", "scenario_id", "step", "forecast_date", rr("forecasted_close", 2))

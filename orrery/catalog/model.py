@@ -1,14 +1,16 @@
 """Registered queries: random forest (M1-M4, F3), R^2 (A7), the whole forecast
 job (G7) and the report/summary outputs (S13, S14).
 
-Forest results depend on Spark's binning, so M1-M4, F3, G7 and S13 are
-rows-only checks; A7 and S14 use the deterministic predictor and have SQL.
-The forest is fitted once per application and data folder and shared by the
-queries that need it (fitting is the expensive, driver-iterated step).
+Forest results depend on Spark's binning, so M1-M4 and G7 are rows-only
+checks; A7, S13 and S14 use the deterministic predictor and have SQL.  Every
+query that needs the forest fits it on a bounded number of rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_cdf_sql
@@ -18,27 +20,27 @@ from ..operators import forecast as G
 from ..operators import model as M
 from ..plans.sequence import Series
 from ..sources import scenarios as SC
-from ..sources.sinks import as_json_lines
+from ..session import scratch_path
+from ..sources.sinks import write_json
 from .common import dbl, orders_bars, register, table
-from .features import F1_SQL_BODY, f1_of, landscape_of
-from .forecast import BASE, DAYS, FORECAST_SQL, impact_of, start_of
+from .features import F1_SQL_BODY, f0_of, f1_of, landscape_of
+from .forecast import BASE, DAYS, FORECAST_SQL, impact_of, q_horizon_summary, start_of, summary_sql
 
 S = Series("symbol", "bar_date")
 COLS = FE.feature_columns()
-_FITTED: dict = {}
 
 
 def split_of(spark, sf):
-    return FE.with_split(f1_of(spark, sf), S, 0.2, "ceil")
+    return FE.with_split(f0_of(spark, sf), S, 0.2, "ceil")
+
+
+def split_features(spark, sf):
+    """The split rows with the constants of every scenario."""
+    return FE.with_constants(split_of(spark, sf), landscape_of(spark, sf))
 
 
 def fitted(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FITTED:
-        sp = split_of(spark, sf)
-        model = M.train_forest(sp.filter(~F.col("is_test")), COLS)
-        _FITTED[key] = model
-    return _FITTED[key]
+    return M.train_forest(split_features(spark, sf).filter(~F.col("is_test")), COLS)
 
 
 def latest_features(spark, sf):
@@ -55,24 +57,31 @@ def q_rf_train(spark, sf):
     return M.forest_summary(spark, fitted(spark, sf))
 
 
-@register("feature_vector")
+@register(
+    "feature_vector",
+    F1_SQL_BODY + " SELECT symbol, scenario_id, bar_date, "
+    + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS f{i}" for i, c in enumerate(COLS)) + " FROM f1",
+)
 def q_feature_vector(spark, sf):
-    """feature columns assembled in model order."""
-    return M.feature_vector(f1_of(spark, sf), COLS).select("symbol", "bar_date", "features")
+    """feature columns assembled in model order, shown entry by entry."""
+    v = vector_to_array("features")
+    return M.feature_vector(f1_of(spark, sf), COLS).select(
+        "symbol", "scenario_id", "bar_date", *[F.round(v[i], 6).alias(f"f{i}") for i in range(len(COLS))])
 
 
 @register("rf_predict")
 def q_rf_predict(spark, sf):
-    """M2: predicted 30-row return from each symbol's latest feature row."""
+    """M2: predicted 30-row return from each symbol's latest feature row, per scenario."""
     p = M.predict(fitted(spark, sf), latest_features(spark, sf))
-    return p.select("symbol", "bar_date", F.col("prediction").alias("predicted_return"))
+    return p.select("symbol", "scenario_id", "bar_date", F.col("prediction").alias("predicted_return"))
 
 
 @register("rf_evaluate")
 def q_rf_evaluate(spark, sf):
     """M3: R^2 on train and test rows."""
-    sp = split_of(spark, sf)
-    return M.evaluate(fitted(spark, sf), sp.filter(~F.col("is_test")), sp.filter(F.col("is_test")))
+    sp = split_features(spark, sf)
+    model = M.train_forest(sp.filter(~F.col("is_test")), COLS)
+    return M.evaluate(model, sp.filter(~F.col("is_test")), sp.filter(F.col("is_test")))
 
 
 @register("feature_importance_topk")
@@ -82,11 +91,11 @@ def q_feature_importance_topk(spark, sf):
 
 
 def forest_start(spark, sf):
-    """Forecast start rows with the forest's prediction per symbol."""
+    """Forecast start rows with the forest's prediction per symbol and scenario."""
     pred = M.predict(fitted(spark, sf), latest_features(spark, sf)).select(
-        "symbol", F.col("prediction").alias("predicted_return")
+        "symbol", "scenario_id", F.col("prediction").alias("predicted_return")
     )
-    return start_of(spark, sf).drop("predicted_return").join(pred, "symbol")
+    return start_of(spark, sf).drop("predicted_return").join(pred, ["symbol", "scenario_id"])
 
 
 @register("forecast_job")
@@ -98,17 +107,43 @@ def q_forecast_job(spark, sf):
     )
 
 
-@register("summary_json_sink")
+# Parameters of a run that its summary states.
+GENERATION_TIME = "2002-01-01T00:00:00"
+HISTORICAL_YEARS = 5
+
+_SCORES_SQL = F1_SQL_BODY + f""",
+sp AS (SELECT symbol, {FE.TARGET} AS y, rn >= n - ceil(n * {dbl(0.2)}) AS is_test FROM (
+         SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS rn,
+                count(*) OVER (PARTITION BY symbol) AS n FROM f0)),
+mu AS (SELECT symbol, avg(y) AS prediction FROM sp WHERE NOT is_test GROUP BY 1),
+dev AS (SELECT is_test, y, prediction, avg(y) OVER (PARTITION BY is_test) AS yb FROM sp JOIN mu USING (symbol)),
+r2 AS (SELECT is_test, 1 - sum((y - prediction) * (y - prediction)) / sum((y - yb) * (y - yb)) AS r2 FROM dev GROUP BY 1)
+SELECT max(CASE WHEN NOT is_test THEN round(r2, 6) END) AS train_score, max(CASE WHEN is_test THEN round(r2, 6) END) AS test_score FROM r2"""
+
+
+def mean_scores(spark, sf):
+    """One row: R^2 of each symbol's mean training return on the training and the test rows."""
+    sp = split_of(spark, sf).select("symbol", "is_test", FE.TARGET)
+    mu = sp.filter(~F.col("is_test")).groupBy("symbol").agg(F.avg(FE.TARGET).alias("prediction"))
+    r2 = M.r2_score(sp.join(mu, "symbol"), group="is_test")
+    return r2.agg(F.max(F.when(~F.col("is_test"), F.round("r2", 6))).alias("train_score"),
+                  F.max(F.when(F.col("is_test"), F.round("r2", 6))).alias("test_score"))
+
+
+@register(
+    "summary_json_sink",
+    f"""SELECT s.*, '{GENERATION_TIME}' AS generation_time, {HISTORICAL_YEARS} AS historical_years, {DAYS} AS forecast_days,
+               r.train_score, r.test_score FROM ({summary_sql()}) s CROSS JOIN ({_SCORES_SQL}) r""",
+)
 def q_summary_json_sink(spark, sf):
-    """Per (symbol, scenario) summary with run metadata and scores, as JSON."""
-    start = forest_start(spark, sf)
-    summ = G.horizon_summary(G.forecast_path(start, impact_of(spark, sf), DAYS), start, DAYS)
-    sp = split_of(spark, sf)
-    scores = M.evaluate(fitted(spark, sf), sp.filter(~F.col("is_test")), sp.filter(F.col("is_test")))
-    out = summ.crossJoin(F.broadcast(scores)).withColumns(
-        {"historical_years": F.lit(None).cast("int"), "forecast_days": F.lit(DAYS)}
-    )
-    return as_json_lines(out)
+    """Per (symbol, scenario) summary with run metadata and scores of the deterministic
+    predictor, written as JSON and read back."""
+    out = q_horizon_summary(spark, sf).withColumns({
+        "generation_time": F.lit(GENERATION_TIME), "historical_years": F.lit(HISTORICAL_YEARS), "forecast_days": F.lit(DAYS),
+    }).crossJoin(F.broadcast(mean_scores(spark, sf)))
+    path = scratch_path(spark, f"summary-{uuid.uuid4().hex}")
+    write_json(out, path)
+    return spark.read.schema(out.schema).json(path)
 
 
 # --- A7 (deterministic predictor) -----------------------------------------------------
@@ -119,7 +154,7 @@ def q_summary_json_sink(spark, sf):
     + f""",
 sp AS (SELECT *, rn >= n - ceil(n * {dbl(0.2)}) AS is_test FROM (
          SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS rn,
-                count(*) OVER (PARTITION BY symbol) AS n FROM f1)),
+                count(*) OVER (PARTITION BY symbol) AS n FROM f0)),
 mu AS (SELECT symbol, avg({FE.TARGET}) AS prediction FROM sp WHERE NOT is_test GROUP BY 1),
 te AS (SELECT sp.symbol, sp.{FE.TARGET} AS y, mu.prediction FROM sp JOIN mu USING (symbol) WHERE is_test),
 ybar AS (SELECT symbol, avg(y) AS yb FROM te GROUP BY 1)

@@ -10,6 +10,7 @@ ratios and probabilities to 6.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators import indicators as I
 from ..operators import windows as W
 from ..operators.ewma import with_ewma
 from ..plans.sequence import Series, over_series
+from ..session import scratch_path
 from ..sources import bars as B
 from .common import BARS_SQL, EVENT_BARS_SQL, dbl, ema_cte_sql, events_bars, full_window_sql, orders_bars, register, table
 
@@ -323,21 +325,34 @@ def q_require_nonempty(spark, sf):
     return B.missing_symbols(requested, bars)
 
 
-@register(
-    "bars_stream_append",
-    f"""SELECT * FROM ({BARS_SQL})
-        WHERE CAST(bar_date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 2 DAY""",
-)
+@register("bars_stream_append", BARS_SQL)
 def q_bars_stream_append(spark, sf):
-    """S2-S4 as a stream: order files -> daily bars with a 2-day watermark ->
-    appended to the bar store once final; returns the store's contents."""
-    import uuid
-
-    from ..session import scratch_path
-    from ..streaming.bars import start_bar_ingest
+    """S2-S4 as a stream: order files -> partial daily bars per micro-batch ->
+    the store; returns the store's merged bars."""
+    from ..streaming.bars import read_ingested, start_bar_ingest
 
     schema = table(spark, sf, "orders").schema
     base = scratch_path(spark, f"bar-stream-{uuid.uuid4().hex}")
     q = start_bar_ingest(spark, sf.rstrip("/"), schema, f"{base}/store", f"{base}/checkpoint", file_glob="orders.parquet")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/store").select(*B.BAR_COLUMNS)
+    return read_ingested(spark, f"{base}/store")
+
+
+@register("bars_csv_roundtrip", f"SELECT *, close AS adj_close FROM ({BARS_SQL})")
+def q_bars_csv_roundtrip(spark, sf):
+    """S1 from CSV: the order bars written as OHLCV files per symbol and read back with the fixed schema."""
+    path = scratch_path(spark, f"bars-csv-{uuid.uuid4().hex}")
+    B.write_bars_csv(orders_bars(spark, sf), path)
+    return B.read_bars_csv(spark, path)
+
+
+AS_OF_DAY, YEARS_BACK = "1999-06-15", 3
+
+
+@register(
+    "bars_default_range",
+    f"""SELECT * FROM ({BARS_SQL}) WHERE bar_date BETWEEN DATE '{AS_OF_DAY}' - {365 * YEARS_BACK} AND DATE '{AS_OF_DAY}'""",
+)
+def q_bars_default_range(spark, sf):
+    """S2's default range: so many years of 365 days before ``as_of``, pushed into the scan."""
+    return B.bars_from_orders(B.orders_date_range(table(spark, sf, "orders"), *B.bars_window_for(AS_OF_DAY, YEARS_BACK)))

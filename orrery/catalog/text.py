@@ -10,12 +10,15 @@ prompts that hold a marker; the whole text is always passed, whatever its length
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import arrival as A
 from ..operators import enrich as E
 from ..sources import scenarios as SC
-from ..sources.sinks import stringify
+from ..session import scratch_path
+from ..sources.sinks import stringify, write_json
 from .arrival import chain_sql, years_cte
 from .common import dbl, register, table
 
@@ -23,11 +26,15 @@ MARKER = "***"
 LAND_BASE = 2025
 
 
-def counting_client(prompt: str) -> str:
-    """Deterministic stand-in for a text service."""
-    if MARKER in prompt:
-        raise ValueError("prompt holds a marker")
-    return f"chars={len(prompt)}"
+def make_client():
+    """Builds a deterministic stand-in for a text service, once per task."""
+
+    def counting_client(prompt: str) -> str:
+        if MARKER in prompt:
+            raise ValueError("prompt holds a marker")
+        return f"chars={len(prompt)}"
+
+    return counting_client
 
 
 def prompts_of(spark, sf, english_only: bool):
@@ -46,7 +53,7 @@ def prompts_of(spark, sf, english_only: bool):
 )
 def q_topic_batch_enrich(spark, sf):
     """The client over every (topic, prompt); failures captured per row."""
-    out = E.topic_batch_enrich(prompts_of(spark, sf, False), counting_client)
+    out = E.topic_batch_enrich(prompts_of(spark, sf, False), factory=make_client)
     return out.select("topic", "response")
 
 
@@ -61,13 +68,16 @@ def q_topic_batch_enrich(spark, sf):
 def q_topic_prompts(spark, sf):
     """Labelled documents looked up in the English prompt library."""
     req = table(spark, sf, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("topic"))
-    return E.topic_prompts(req, prompts_of(spark, sf, True), counting_client)
+    return E.topic_prompts(req, prompts_of(spark, sf, True), factory=make_client)
 
 
-def landscape_of(spark, sf):
+def horizon_of(spark, sf):
     li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(*SC.scenario_inputs(li, LAND_BASE))
-    return E.landscape(A.horizon_probability(post))
+    return A.horizon_probability(A.posterior_moments(*SC.scenario_inputs(li, LAND_BASE)))
+
+
+def landscape_of(spark, sf):
+    return E.landscape(horizon_of(spark, sf))
 
 
 @register(
@@ -86,7 +96,46 @@ def q_landscape_defaults(spark, sf):
     return out.withColumn("agi_probability", F.round("agi_probability", 6))
 
 
-@register("analysis_json_sink")
+@register(
+    "analysis_json_sink",
+    "WITH "
+    + chain_sql(LAND_BASE)
+    + years_cte("ypl", 0, 15)
+    + f"""
+    SELECT scenario_id, '{E.AI_SENTIMENT}' AS ai_sentiment, round(cumulative_probability, 6) AS agi_probability,
+           {", ".join(f"'{v}' AS {k}" for k, v in E.DEFAULT_TEXTS.items())}
+    FROM ypl WHERE year = {LAND_BASE + 5}""",
+)
 def q_analysis_json_sink(spark, sf):
-    """The landscape with every value as a string, as JSON lines."""
-    return stringify(landscape_of(spark, sf)).select("scenario_id", F.to_json(F.struct("*")).alias("json"))
+    """The landscape with every value as a string, written as JSON and read back."""
+    out = stringify(landscape_of(spark, sf))
+    path = scratch_path(spark, f"analysis-{uuid.uuid4().hex}")
+    write_json(out, path)
+    back = spark.read.schema(out.schema).json(path)
+    return back.withColumn("agi_probability", F.round(F.col("agi_probability").cast("double"), 6))
+
+
+TOPIC_LANGUAGES = dict(zip(E.LANDSCAPE_TOPICS, ("en", "de", "fr")))
+
+
+@register(
+    "landscape_with_client",
+    "WITH "
+    + chain_sql(LAND_BASE)
+    + years_cte("ypl", 0, 15)
+    + f""",
+    stats AS (SELECT lang, 'Summarise ' || CAST(count(*) AS VARCHAR) || ' documents of ' || CAST(sum(n_chars) AS VARCHAR)
+                           || ' characters' AS prompt FROM documents GROUP BY 1)
+    SELECT scenario_id, {dbl(E.AI_SENTIMENT)} AS ai_sentiment, round(cumulative_probability, 6) AS agi_probability,
+           {", ".join(f"coalesce((SELECT 'chars=' || CAST(length(prompt) AS VARCHAR) FROM stats WHERE lang = '{v}'), '{E.DEFAULT_TEXTS[k]}') AS {k}" for k, v in TOPIC_LANGUAGES.items())}
+    FROM ypl WHERE year = {LAND_BASE + 5}""",
+)
+def q_landscape_with_client(spark, sf):
+    """U4 with a client: one prompt per topic, made of all documents of a language; a topic without
+    documents keeps its default text."""
+    topic = F.coalesce(*[F.when(F.col("lang") == v, F.lit(k)) for k, v in TOPIC_LANGUAGES.items()])
+    prompts = table(spark, sf, "documents").groupBy(topic.alias("topic")).agg(
+        F.format_string("Summarise %d documents of %d characters", F.count("*"), F.sum("n_chars")).alias("prompt"))
+    responses = E.topic_batch_enrich(prompts.where("topic IS NOT NULL"), factory=make_client)
+    out = E.landscape(horizon_of(spark, sf), responses)
+    return out.withColumn("agi_probability", F.round("agi_probability", 6))

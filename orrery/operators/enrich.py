@@ -1,8 +1,8 @@
 """Text enrichment (U2-U4): topic prompts, batched text callables, landscape.
 
 The reference sends prompts to a remote text service.  Here the service is an
-injected callable ``client(prompt) -> str`` run inside ``mapInPandas`` (one
-client per task, Arrow batches in and out); failures are captured per row as
+injected callable ``client(prompt) -> str``, or a ``factory`` that builds one
+in each task, run inside ``mapInPandas`` (Arrow batches in and out); failures are captured per row as
 text instead of failing the batch.  No network client is built in.
 """
 
@@ -31,11 +31,15 @@ LANDSCAPE_TOPICS = list(DEFAULT_TEXTS)
 AI_SENTIMENT = 0.75
 
 
-def _map_client(df: DataFrame, client: Callable[[str], str], on_error: Callable[[str, Exception], str],
+Client = Callable[[str], str]
+
+
+def _map_client(df: DataFrame, factory: Callable[[], Client], on_error: Callable[[str, Exception], str],
                 out: str = "response") -> DataFrame:
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out}` string"
 
     def run(batches):
+        client = factory()
         for pdf in batches:
             replies = []
             for topic, prompt in zip(pdf["topic"], pdf["prompt"]):
@@ -51,29 +55,28 @@ def _map_client(df: DataFrame, client: Callable[[str], str], on_error: Callable[
     return df.mapInPandas(run, schema)
 
 
-def topic_batch_enrich(df: DataFrame, client: Callable[[str], str]) -> DataFrame:
-    """Run ``client`` over ``(topic, prompt)`` rows; a failure becomes
-    ``"Error: <message>"`` for that row only."""
-    return _map_client(df, client, lambda t, e: f"{ERROR_PREFIX}{e}")
+def topic_batch_enrich(df: DataFrame, client: Client | None = None, factory: Callable[[], Client] | None = None) -> DataFrame:
+    """Run a client over ``(topic, prompt)`` rows; a failure becomes
+    ``"Error: <message>"`` for that row only.  ``factory`` is called once per task."""
+    return _map_client(df, factory or (lambda: client), lambda t, e: f"{ERROR_PREFIX}{e}")
 
 
-def topic_prompts(requests: DataFrame, prompts: DataFrame, client: Callable[[str], str] | None = None) -> DataFrame:
+def topic_prompts(requests: DataFrame, prompts: DataFrame, client: Client | None = None,
+                  factory: Callable[[], Client] | None = None) -> DataFrame:
     """Answer requested topics from a prompt table.
 
     No client: a fixed message.  Otherwise unknown topics get
     ``"Unknown topic: <topic>"``, known ones the client's reply, failures
-    ``"Error analyzing <topic>: <message>"``.
+    ``"Error analyzing <topic>: <message>"``.  Only the requested prompts pass
+    the client; what is joined to the requests are its replies, not the texts.
     """
-    if client is None:
+    if client is None and factory is None:
         return requests.select("topic", F.lit(NO_CLIENT).alias("response"))
-    j = requests.select("topic").join(prompts.select("topic", "prompt"), "topic", "left")
-    answered = _map_client(j, client, lambda t, e: f"{ERROR_ANALYZING}{t}: {e}")
-    return answered.select(
-        "topic",
-        F.when(F.col("prompt").isNull(), F.concat(F.lit(UNKNOWN_TOPIC), F.col("topic"))).otherwise(F.col("response")).alias(
-            "response"
-        ),
-    )
+    known = prompts.where("prompt IS NOT NULL").select("topic", "prompt")
+    asked = known.join(requests.select("topic").distinct(), "topic", "left_semi")
+    replies = _map_client(asked, factory or (lambda: client), lambda t, e: f"{ERROR_ANALYZING}{t}: {e}").select("topic", "response")
+    return requests.select("topic").join(replies, "topic", "left").select(
+        "topic", F.coalesce("response", F.concat(F.lit(UNKNOWN_TOPIC), F.col("topic"))).alias("response"))
 
 
 def landscape(horizon: DataFrame, responses: DataFrame | None = None) -> DataFrame:

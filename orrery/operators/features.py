@@ -16,10 +16,6 @@ MOMENTUM_PERIODS = (5, 21, 63)
 TARGET = "target_30d_return"
 TARGET_ROWS = 30
 
-# Fixed value: the reference's placeholder sentiment score.
-AI_SENTIMENT = 0.75
-
-
 def feature_columns(extended: bool = False, constants: bool = True) -> list[str]:
     """Feature names in model input order."""
     if not extended:
@@ -74,13 +70,12 @@ def raw_features(bars: DataFrame, series: Series = Series(), extended: bool = Fa
 
 
 def with_constants(df: DataFrame, landscape: DataFrame) -> DataFrame:
-    """Append the one-row landscape scalars (``ai_sentiment``,
-    ``agi_probability``) to every row; ``landscape`` is reduced to exactly one
-    row first, so the broadcast is one row by construction."""
-    one = landscape.agg(
-        F.first("ai_sentiment").alias("ai_sentiment"), F.first("agi_probability").alias("agi_probability")
-    )
-    return df.crossJoin(F.broadcast(one))
+    """The landscape scalars (``ai_sentiment``, ``agi_probability``) of every
+    scenario a series is exposed to, so a row per (row, scenario).
+
+    ``landscape`` holds one row per (symbol, scenario_id); the equi join leaves
+    its size to AQE and a hot symbol to the skew join."""
+    return df.join(landscape.select("symbol", "scenario_id", "ai_sentiment", "agi_probability"), "symbol")
 
 
 def features_pipeline(bars: DataFrame, landscape: DataFrame | None = None, series: Series = Series(),

@@ -23,6 +23,11 @@ NUM_TREES = 100
 SEED = 42
 MAX_DEPTH = 30
 
+# At most about so many labelled rows, by smallest hash, fit the forest, and a leaf holds MIN_INSTANCES
+# of them or more; so the trees that the driver builds have a size that does not grow with the table.
+FIT_ROWS = 5_000
+MIN_INSTANCES = 10
+
 
 def feature_vector(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     """assemble feature columns, in order, into one vector column."""
@@ -58,11 +63,13 @@ def node_budget_mb(spark: SparkSession) -> int:
 
 def train_forest(train: DataFrame, cols: list[str], label: str = TARGET, *, num_trees: int = NUM_TREES,
                  max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 32,
-                 min_instances: int = 1, max_memory_mb: int | None = None) -> PipelineModel:
+                 min_instances: int = MIN_INSTANCES, fit_rows: int = FIT_ROWS,
+                 max_memory_mb: int | None = None) -> PipelineModel:
     """M1: fit ``VectorAssembler -> RandomForestRegressor``.
 
-    The training frame is persisted (memory, spilling to disk) for the
-    forest's repeated passes; a lost executor only recomputes its blocks.
+    ``fit_rows`` bounds the labelled rows the forest is fitted on: rows are
+    taken by a hash of their values, whatever the size of the table.  The
+    training frame is persisted (memory, spilling to disk) for the forest's repeated passes; a lost executor only recomputes its blocks.
     Node ids are cached next to the rows and a large per-pass node budget
     lets one pass grow many nodes of all trees at once: deep trees otherwise
     need one pass over the data per small group of nodes.
@@ -76,7 +83,10 @@ def train_forest(train: DataFrame, cols: list[str], label: str = TARGET, *, num_
         featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
         cacheNodeIds=True, maxMemoryInMB=max_memory_mb, checkpointInterval=10,
     )
-    data = train.select(*cols, label).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*cols, label)
+    share = fit_rows / max(1, rows.count())
+    place = F.pmod(F.xxhash64(*cols, label), F.lit(1 << 30)) / float(1 << 30)
+    data = rows.where(place < share).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=[va, rf]).fit(data)
     finally:

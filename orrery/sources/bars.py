@@ -29,18 +29,30 @@ BARS_CSV_SCHEMA = T.StructType(
 
 
 def read_bars_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """OHLCV CSV with a header row and the date in the first column.
+    """OHLCV CSV with a header row and the date in the first column; ``adj_close`` is kept.
 
-    The schema is fixed (no inference).  Files without a symbol column get
-    ``symbol`` from the argument (one file per ticker).
+    The schema is fixed (no inference).  ``symbol`` comes from the argument (one file per ticker)
+    or, without one, from ``symbol=<ticker>`` folders.
     """
-    df = spark.read.csv(path, header=True, schema=BARS_CSV_SCHEMA, dateFormat="yyyy-MM-dd")
-    return df.withColumn("symbol", F.lit(symbol)).select(*BAR_COLUMNS)
+    schema = BARS_CSV_SCHEMA if symbol is not None else T.StructType([*BARS_CSV_SCHEMA, T.StructField("symbol", T.StringType())])
+    df = spark.read.csv(path, header=True, schema=schema, dateFormat="yyyy-MM-dd", enforceSchema=True)
+    if symbol is not None:
+        df = df.withColumn("symbol", F.lit(symbol))
+    return df.select(*BAR_COLUMNS, "adj_close")
 
 
-def read_bars_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Bar table stored as parquet (optionally partitioned by ``symbol``)."""
-    return spark.read.parquet(path).select(*BAR_COLUMNS)
+def write_bars_csv(bars: DataFrame, path: str) -> None:
+    """OHLCV CSV with a header row in ``symbol=<ticker>`` folders; ``adj_close`` is the close, as in
+    the sample, unless the bars carry one."""
+    adj = F.col("adj_close") if "adj_close" in bars.columns else F.col("close")
+    out = bars.select("symbol", "bar_date", "open", "high", "low", "close", adj.alias("adj_close"), "volume")
+    by_symbol(out).write.option("header", True).partitionBy("symbol").csv(path)
+
+
+def by_symbol(bars: DataFrame, order: str = "bar_date") -> DataFrame:
+    """Bars dealt by symbol and year before a write partitioned by symbol: a file per symbol and
+    year at most, and no symbol in one task."""
+    return bars.repartition(F.col("symbol"), F.year(order))
 
 
 def bars_from_orders(orders: DataFrame) -> DataFrame:
@@ -66,9 +78,12 @@ def bars_from_orders(orders: DataFrame) -> DataFrame:
 def bars_from_events(events: DataFrame) -> DataFrame:
     """Hourly bars from ``events``: one series per event type, ordered by ``bar_ts``.
 
-    The hour is cut on the zone-free timestamp, so no session zone's clock change merges hours."""
-    order = F.struct("ts", "event_id")
+    The hour is cut on the zone-free timestamp, so no session zone's clock change merges hours.
+    First and last are by (time in the hour, event id), packed in one decimal: its buffer has a fixed
+    width, so the raw events are aggregated by hash, where a struct would have them sorted."""
     ts = F.col("ts").cast("timestamp_ntz")
+    order = F.expr("""coalesce(cast((minute(ts) * 60 + extract(SECOND FROM ts)) * 1000000 AS decimal(10, 0)), 0)
+                      * cast('10000000000000000000' AS decimal(20, 0)) + coalesce(cast(event_id AS decimal(19, 0)), 0)""")
     return events.groupBy(
         F.col("event_type").alias("symbol"),
         F.make_timestamp_ntz(F.year(ts), F.month(ts), F.day(ts), F.hour(ts), F.lit(0), F.lit(0)).alias("bar_ts"),
@@ -117,7 +132,7 @@ def bars_window_for(as_of, years: int) -> tuple[dt.date, dt.date]:
 def write_bar_store(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S3 (write side): bar store partitioned by symbol, so a per-ticker read
     prunes to one folder."""
-    bars.write.mode(mode).partitionBy("symbol").parquet(path)
+    by_symbol(bars).write.mode(mode).partitionBy("symbol").parquet(path)
 
 
 def read_bar_store(spark: SparkSession, path: str, symbols: list[str] | None = None,

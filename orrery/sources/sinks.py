@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def write_forecast(path_df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Forecast rows, partitioned by scenario for scenario-wise reads."""
-    w = path_df.write.mode(mode)
+    w = path_df.repartition("scenario_id", "symbol").write.mode(mode)
     if fmt == "parquet":
         w.partitionBy("scenario_id").parquet(path)
     elif fmt == "csv":
@@ -26,12 +26,6 @@ def stringify(df: DataFrame, keys=("scenario_id",)) -> DataFrame:
     return df.select(*keys, *[F.col(c).cast("string").alias(c) for c in df.columns if c not in keys])
 
 
-def as_json_lines(df: DataFrame, keys=("symbol", "scenario_id")) -> DataFrame:
-    """One JSON document per row (numbers stay numbers, NULLs are dropped
-    by ``to_json``), next to its keys."""
-    keys = [k for k in keys if k in df.columns]
-    return df.select(*keys, F.to_json(F.struct(*[c for c in df.columns])).alias("json"))
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+    """One JSON document per row; numbers stay numbers and NULLs are written."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)

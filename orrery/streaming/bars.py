@@ -2,16 +2,18 @@
 
 The reference refreshes one ticker's bars by re-downloading a date range and
 caching it as a file (S2-S4).  The Spark form is a stream: new order files
-land in a folder, daily bars are aggregated per (symbol, day) with an
-event-time watermark, and each day is appended to the partitioned bar store
-(S3) once it can no longer change.  State holds only the days inside the
-watermark delay, so it stays bounded however long the stream runs; the
-checkpoint lives in the cluster's shared checkpoint folder, so a restarted
-driver or lost executor resumes exactly where it stopped.
+land in a folder, and every micro-batch writes the partial bars of its own
+orders into the store.  A partial bar carries the order keys of its open and
+close, so partial bars of one (symbol, day) merge in any order: a read is
+complete up to the newest file, and files that arrive late count like any
+other.  The stream keeps no state; a batch that is run again after a failure
+replaces its own folder.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,49 +22,52 @@ from pyspark.sql.types import StructType
 from ..sources.bars import BAR_COLUMNS
 
 
-def daily_bars_stream(orders: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Streaming daily bars from a stream of ``orders`` rows (same columns and
-    rules as :func:`orrery.sources.bars.bars_from_orders`)."""
-    ev = orders.select(
-        F.col("o_orderpriority").alias("symbol"),
-        # event time = the order's day at 00:00 UTC, built from the day number so
-        # neither the watermark nor the day windows depend on the session time zone
-        F.timestamp_seconds(F.unix_date(F.to_date("o_orderdate")).cast("long") * 86400).alias("ts"),
-        "o_orderkey", "o_totalprice",
-    )
-    agg = ev.withWatermark("ts", delay).groupBy("symbol", F.window("ts", "1 day").alias("day")).agg(
+def partial_bars(orders: DataFrame) -> DataFrame:
+    """Daily bars of some orders with the keys of their first and last order."""
+    return orders.groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("bar_date")).agg(
+        F.min("o_orderkey").alias("open_key"),
         F.min_by("o_totalprice", "o_orderkey").alias("open"),
         F.max("o_totalprice").alias("high"),
         F.min("o_totalprice").alias("low"),
+        F.max("o_orderkey").alias("close_key"),
         F.max_by("o_totalprice", "o_orderkey").alias("close"),
         F.count(F.lit(1)).alias("volume"),
     )
-    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("day.start")) / 86400).cast("int"))
-    return agg.select(day.alias("bar_date"), *[c for c in BAR_COLUMNS if c != "bar_date"]).select(
-        *BAR_COLUMNS
-    )
+
+
+def merged_bars(partials: DataFrame) -> DataFrame:
+    """One bar per (symbol, day) from its partial bars."""
+    return partials.groupBy("symbol", "bar_date").agg(
+        F.min_by("open", "open_key").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "close_key").alias("close"),
+        F.sum("volume").alias("volume"),
+    ).select(*BAR_COLUMNS)
+
+
+def read_ingested(spark: SparkSession, store: str) -> DataFrame:
+    """All bars of a store that :func:`start_bar_ingest` fills, late files included."""
+    return merged_bars(spark.read.parquet(store))
 
 
 def start_bar_ingest(spark: SparkSession, source: str, schema: StructType, store: str, checkpoint: str, *,
-                     delay: str = "2 days", once: bool = True, file_glob: str | None = None) -> StreamingQuery:
-    """Append finalised daily bars from order files in the folder ``source``
-    (optionally only files matching ``file_glob``) to the bar store at
-    ``store`` (parquet, partitioned by symbol).
+                     once: bool = True, file_glob: str | None = None) -> StreamingQuery:
+    """Add the partial bars of the order files in the folder ``source``
+    (optionally only files matching ``file_glob``) to the store at ``store``.
 
     ``once=True`` processes what is there now and stops (a scheduled refresh);
-    ``False`` keeps running with the default trigger.
+    ``False`` keeps running with the default trigger.  Each order file must be
+    given to one checkpoint only.
     """
     reader = spark.readStream.schema(schema)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
-    orders = reader.parquet(source)
-    w = (
-        daily_bars_stream(orders, delay)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .partitionBy("symbol")
-        .option("path", store)
-        .option("checkpointLocation", checkpoint)
-    )
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        partial_bars(batch).write.mode("overwrite").parquet(f"{store}/ingest={stream}-{batch_id}")
+
+    w = reader.parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w
     return w.start()

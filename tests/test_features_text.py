@@ -57,3 +57,20 @@ def test_batch_enrich_captures_errors_per_row(spark):
 
     got = {r.topic: r.response for r in E.topic_batch_enrich(df, client).collect()}
     assert got == {"a": "fine", "b": "Error: failed"}
+
+
+def test_client_is_built_by_its_factory_in_the_task(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "yy")], "topic string, prompt string")
+    got = {r.topic: r.response for r in E.topic_prompts(df.select("topic"), df, factory=lambda: lambda p: p * 2).collect()}
+    assert got == {"a": "xx", "b": "yyyy"}
+
+
+def test_forest_size_is_bounded_by_fit_rows(spark):
+    from orrery.operators import model as M
+
+    sizes = []
+    for n in (2000, 8000):
+        df = spark.range(n).select(F.rand(1).alias("x"), F.rand(2).alias(FE.TARGET))
+        model = M.train_forest(df, ["x"], num_trees=3, max_depth=12, fit_rows=500, min_instances=5)
+        sizes.append(model.stages[-1].totalNumNodes)
+    assert max(sizes) < 3 * 2 * 600 / 5 and sizes[1] < 1.5 * sizes[0]
