@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import write_through
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+DOCUMENT = r"^/[^/]*/([0-9]+)(?:/|\.html)?$"  # of a path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +51,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
+def document_of(url: Column) -> Column:
+    """The number of the document in the url's path, like 7817 of ``/en/7817.html``; null where there is none."""
+    return F.regexp_extract(path_of(url), DOCUMENT, 1).try_cast("long")
+
+
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest fitting rule and its verdict, null where none fits."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -110,26 +116,34 @@ def reputations(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, suffixes=SUFFIXES, threshold: float = 0.5,
-                z: float = 1.645) -> DataFrame:
+                z: float = 1.645, document: Column | None = None, lift: float | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate, lower_bound for every row of ``pages``.
 
-    ``labels`` (doc_id, quality, toxic) holds outcomes of pages by id: bad is quality 0 or toxic 1;
+    ``labels`` (doc_id, quality, toxic) holds outcomes of documents; ``document`` says which one a page
+    is (see ``document_of``), by default the one with the page's id.  With ``lift`` a page is blocked
+    when the lower bound passes ``lift`` times the overall rate, else when it passes ``threshold``.  Bad is quality 0 or toxic 1;
     labels with nulls, or more than one for a page, count as their worst.  The lower bound is the
     posterior mean less ``z`` standard deviations.  A null url or one without ``://`` has an empty
     host and path and shares the reputation of such pages.  Repeated rows are judged alike.  Extra
     columns are dropped, so they never clash.  An empty table gives no rows.
     """
-    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+                       (F.col("page_id") if document is None else document).alias("document"))
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
     own = own.withColumns({"rule": rule, "ruled": ruled})
     outcome = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(
-        F.col("doc_id").alias("page_id")).agg(F.max(F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END")).alias("bad"))
-    outcomes = write_through(own.select("page_id", "host").join(outcome, "page_id", "left").groupBy("host").agg(
+        F.col("doc_id").alias("document")).agg(F.max(F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END")).alias("bad"))
+    outcomes = write_through(own.select("document", "host").join(outcome, "document", "left").groupBy("host").agg(
         F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "host-outcomes")
     rated = reputations(outcomes, suffixes).selectExpr(
         "name AS host", "a / (a + b) AS bad_rate",
         f"a / (a + b) - {z}D * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound")
+    limit = F.lit(threshold)
+    if lift is not None:  # one row by construction
+        own = own.join(F.broadcast(outcomes.agg(F.expr(
+            f"({PRIOR[0]}D + coalesce(sum(bad), 0)) / ({sum(PRIOR)}D + coalesce(sum(n), 0)) * {float(lift)}D").alias("limit"))))
+        limit = F.col("limit")
     return own.join(rated, "host", "left").select(
         "page_id", "host", "path", "rule",
-        F.coalesce("ruled", F.when(F.col("lower_bound") > threshold, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("ruled", F.when(F.col("lower_bound") > limit, "block").otherwise("allow")).alias("verdict"),
         F.round("bad_rate", 6).alias("bad_rate"), F.round("lower_bound", 6).alias("lower_bound"))

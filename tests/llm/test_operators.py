@@ -352,3 +352,16 @@ def test_hosts_rules_and_reputations(spark):
     assert all(got[k].verdict == "block" for k in [*range(100, 140), None]) and all(got[k].verdict == "allow" for k in range(200, 240))
     assert got[11].verdict == "allow" and len(got) == len(rows)
     assert hosts.judge_pages(pages.limit(0), labels).count() == 0 and hosts.judge_pages(pages, labels.limit(0)).count() == len(rows)
+
+
+def test_hosts_outcomes_by_document_and_lift(spark):
+    rows = [(k, f"http://bad.example.org/en/{1000 + k}{'/' if k % 2 else '.html'}?p=7") for k in range(40)]
+    rows += [(100 + k, f"http://good.example.org/de/{2000 + k}#1") for k in range(400)] + [(900, "http://bad.example.org/en/x12")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(1000 + k, int(k % 3 > 0), 0) for k in range(40)] + [(2000 + k, 1, 0) for k in range(400)] + [(100, 0, 0)],
+                                   "doc_id long, quality int, toxic int")
+    document = hosts.document_of(pages.url)
+    numbers = {r.page_id: r.d for r in pages.select("page_id", document.alias("d")).collect()}
+    assert numbers == {**{k: 1000 + k for k in range(40)}, **{100 + k: 2000 + k for k in range(400)}, 900: None}
+    got = {r.page_id: r.verdict for r in hosts.judge_pages(pages, labels, document=document, lift=1.0).collect()}
+    assert {got[k] for k in [*range(40), 900]} == {"block"} and {got[k] for k in range(100, 500)} == {"allow"}
