@@ -2,7 +2,7 @@
 
 Texts are cut into runs of windows that share an anchor; equal windows are always in runs of equal
 anchors.  Equal runs are one text with a multiplicity.  Runs of one anchor with different contents
-meet in one task, which sorts the suffixes of the joined texts, forms their Burrows-Wheeler
+meet in one task (beyond HOT of them their windows are grouped by hash instead), which sorts the suffixes of the joined texts, forms their Burrows-Wheeler
 transform and expands intervals breadth-first: an interval of all suffixes that start with some
 string is extended backward by each character before it, so common prefixes are found by increasing
 length.  The expansion stops at the minimum length; neighbours whose common prefix is still unknown
@@ -12,6 +12,7 @@ then share at least that much.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,7 @@ from .runs import LOC, completed, named, occurrences, packed, per_row, run_table
 MINIMUM = 200  # bytes
 GRAM_PARTS = 4  # 16-byte grams that make an anchor's gram
 CHUNK_BYTES = 1 << 21  # bytes whose suffixes are sorted at once, unless one anchor's runs are more
-HOT = 2000  # different runs of one anchor beyond which they are cut into slices of SLICE windows
-SLICE = 8
+HOT = 2000  # different runs of one anchor beyond which their windows are grouped one by one
 START = 8  # common prefixes below this length are read off the first sort's keys
 SEPARATOR = 0xFF  # in no UTF-8 text
 
@@ -132,14 +132,18 @@ def _measure(least: int, parts: int):
     return run
 
 
-def _texts(least: int, parts: int, hot: int):
-    """The bytes of the named runs; runs of hot anchors in slices that share all but 2 * SLICE bytes."""
-    schema = pa.schema([("h", pa.int64()), ("part", pa.int64()), ("rd", pa.int64()), ("n", pa.int64()),
-                        ("skip", pa.int64()), ("windows", pa.int64()), ("data", pa.binary())])
+def _texts(least: int, hot: int):
+    """The bytes of the named runs; for runs of hot anchors a 128-bit hash of each of their windows."""
+    schema = pa.schema([("h", pa.int64()), ("rd", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("windows", pa.int64()),
+                        ("data", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        digest, pair = xxhash.xxh3_128_digest, struct.Struct("<qq").unpack
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
@@ -147,65 +151,58 @@ def _texts(least: int, parts: int, hot: int):
                 for f in batch.column(3)[row].as_py():
                     first, windows = f["loc"] // LOC, f["loc"] % LOC + 1
                     if f["c"] <= hot:
-                        out.append((f["h"], 0, f["rd"], f["n"], 0, windows, data[first: first + windows - 1 + least]))
-                        continue
-                    # slices are counted from the anchor, so that equal windows are in equal slices
-                    at = _anchor_place(data, first, f["h"], least, parts)
-                    for low in range(first, first + windows):
-                        if low != first and (low - at) % SLICE:
-                            continue
-                        high = min(first + windows, low + SLICE - (low - at) % SLICE)
-                        start = low - (low - at) % SLICE
-                        core = data[start + SLICE - 1: start + least]  # in every window of the slice
-                        part = xxhash.xxh3_64_intdigest(core, seed=(start - at) % 65536) >> 1 | 1
-                        out.append((f["h"], part, f["rd"], f["n"], low - first, high - low, data[low: high - 1 + least]))
-                if len(out) > 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-                    out = []
+                        out.append((f["h"], f["rd"], f["n"], 0, windows, data[first: first + windows - 1 + least], None, None))
+                    else:
+                        out += [(f["h"], f["rd"], f["n"], at, 1, None, *pair(digest(data[first + at: first + at + least]))) for at in range(windows)]
+                    if len(out) > 4096:
+                        yield batch_of(out)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                yield batch_of(out)
 
     return run
 
 
-def _anchor_place(data: bytes, first: int, h: int, least: int, parts: int) -> int:
-    """Where the anchor of the run that starts at window ``first`` stands: the first gram with its hash."""
-    grams = anchors.byte_grams(np.frombuffer(data[first: first + least], np.uint8))
-    n = len(grams) - 16 * (parts - 1)
-    joined = grams[:n].copy()
-    for k in range(1, parts):
-        joined = joined * anchors._M1 + grams[16 * k: 16 * k + n]
-    return first + int(np.flatnonzero(anchors.mixed(joined).view(np.int64) == h)[0])
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """h, rd, a, len: the stretches of ``windows`` (h, rd, n, at, w1, w2) that stand anywhere else too.
+    Counted map-side, so no task meets all places of a window."""
+    twice = write_through(windows.groupBy("w1", "w2").agg(
+        F.max("n").alias("n"), F.min("rd").alias("r0"), F.max("rd").alias("r1"), F.min("at").alias("a0"), F.max("at").alias("a1")).where(
+        "n > 1 OR r0 < r1 OR a0 < a1").select("w1", "w2"), "repeat-windows")
+    places = windows.select("h", "rd", "at", "w1", "w2").join(twice, ["w1", "w2"], "left_semi").groupBy("h", "rd").agg(
+        F.sort_array(F.collect_set("at")).alias("s"))  # at most as many as a run has windows
+    return places.selectExpr("h", "rd", "filter(s, (x, i) -> coalesce(get(s, i - 1) < x - 1, true)) AS a",
+                             "filter(s, (x, i) -> coalesce(get(s, i + 1) > x + 1, true)) AS z").selectExpr(
+        "h", "rd", "inline(arrays_zip(a, z))").selectExpr("h", "rd", "a", "z - a + 1 AS len")
 
 
 def _expand(least: int):
     schema = pa.schema([("h", pa.int64()), ("rd", pa.int64()), ("a", pa.int64()), ("len", pa.int64())])
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        """rows: (h, part, rd, n, skip, windows, data), whole groups of (h, part)."""
-        unique = {(r[0], r[1], r[2], r[4]): r for r in rows}  # repeated rows name one run twice
-        rows = list(unique.values())
-        hits = repeated_starts([r[6] for r in rows], [r[5] for r in rows], least)
+        """rows: (h, rd, n, windows, data), whole groups of h."""
+        rows = list({r[:2]: r for r in rows}.values())  # repeated rows name one run twice
+        hits = repeated_starts([r[4] for r in rows], [r[3] for r in rows], least)
         out = []
         for r, hit in zip(rows, hits):
-            if r[3] > 1:  # the run itself stands in several places
-                hit = np.ones(r[5], bool)
+            if r[2] > 1:  # the run itself stands in several places
+                hit = np.ones(r[3], bool)
             edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
-            out += [(r[0], r[2], r[4] + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2])]
+            out += [(r[0], r[1], int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2])]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, group = [], 0, None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:2] != group:
-                    group = row[:2]
+                if row[0] != group:
+                    group = row[0]
                     if size >= CHUNK_BYTES:
                         out, held, size = solve(held), [], 0
                         if out is not None:
                             yield out
                 held.append(row)
-                size += len(row[6]) + 1
+                size += len(row[4]) + 1
         if held and (out := solve(held)) is not None:
             yield out
 
@@ -252,12 +249,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     per_anchor = distinct.groupBy("h").agg(F.count("*").alias("c"))
     contents = distinct.join(per_anchor, "h")
     meeting = contents.where("c > 1").select("doc_id", "k", "h", "rd", "n", "loc", "c")
-    texts = with_text(packed(rows), per_row(meeting, "h", "rd", "n", "loc", "c")).mapInArrow(
-        _texts(least, parts, hot), "h long, part long, rd long, n long, skip long, windows long, data binary")
-    dealt = texts.repartition("h", "part").sortWithinPartitions("h", "part")
+    texts = write_through(with_text(packed(rows), per_row(meeting, "h", "rd", "n", "loc", "c")).mapInArrow(
+        _texts(least, hot), "h long, rd long, n long, at long, windows long, data binary, w1 long, w2 long"), "repeat-texts")
+    dealt = texts.where("w1 IS NULL").select("h", "rd", "n", "windows", "data").repartition("h").sortWithinPartitions("h")
     expanded = dealt.mapInArrow(_expand(least), "h long, rd long, a long, len long")
+    single = _repeated_windows(texts.where("w1 IS NOT NULL"))
     alone = contents.where("c = 1 AND n > 1").select("h", "rd", F.lit(0).cast("long").alias("a"), (F.col("loc") % LOC + 1).alias("len"))
-    spans = write_through(expanded.unionByName(alone), "repeat-spans")
+    spans = write_through(expanded.unionByName(single).unionByName(alone), "repeat-spans")
     hits = found.join(spans, ["h", "rd"]).select("doc_id", "k", (F.floor(F.col("loc") / LOC) + F.col("a")).alias("a"), "len")
     removed = with_text(packed(rows), per_row(hits, "a", "len")).mapInArrow(_remove(least), "doc_id long, k long, removed long, spans long, kept string")
     return completed(table, removed, {"n_bytes": F.col("size"), "n_removed": F.coalesce("removed", F.lit(0)),

@@ -365,3 +365,25 @@ def test_hosts_outcomes_by_document_and_lift(spark):
     assert numbers == {**{k: 1000 + k for k in range(40)}, **{100 + k: 2000 + k for k in range(400)}, 900: None}
     got = {r.page_id: r.verdict for r in hosts.judge_pages(pages, labels, document=document, lift=1.0).collect()}
     assert {got[k] for k in [*range(40), 900]} == {"block"} and {got[k] for k in range(100, 500)} == {"allow"}
+
+
+def test_repeats_of_a_frequent_passage_do_not_meet_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, expand = words(500), repeats._expand
+    rows = [(k, words(150) + passage + words(150)) for k in range(40)] + [(50, words(400)), (51, passage[:250])]
+
+    def checked(least):
+        solve = expand(least)
+
+        def run(batches):
+            batches = list(batches)
+            sizes = Counter(tuple(r.get(c) for c in ("h", "part")) for b in batches for r in b.to_pylist())
+            assert max(sizes.values(), default=0) <= 10
+            yield from solve(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(repeats, "_expand", checked)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=10)
+    assert _counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _brute_repeats(rows, 200)
