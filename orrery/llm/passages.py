@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_through
 from . import anchors
-from .runs import LOC, completed, named, occurrences, per_row, run_table, with_text
+from .runs import LOC, completed, named, occurrences, once, per_row, run_table, with_text
 
 WINDOW_WORDS, GRAM_WORDS = 50, 16
 SKETCH_ROWS, SKETCH_BITS = 2, 40  # rows of the sketch, and the logarithm of their width
@@ -126,6 +126,7 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rows = named(docs, id_column, text_column)
     table = run_table(rows, _measure(window, gram), "passage-runs")
+    rows = once(rows, table)
     found = write_through(estimated_repeated(occurrences(table).where("doc_id IS NOT NULL")), "passage-candidates")
     distinct = write_through(found.groupBy("h", "rd").agg(F.min("doc_id").alias("low")), "passage-distinct")
     shared = write_through(distinct.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "passage-anchors")

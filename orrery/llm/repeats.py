@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import write_through
 from . import anchors
 from .passages import _covered
-from .runs import LOC, completed, named, occurrences, packed, per_row, run_table, unpacked, with_text
+from .runs import LOC, completed, named, occurrences, once, packed, per_row, run_table, unpacked, with_text
 
 MINIMUM = 200  # bytes
 GRAM_PARTS = 4  # 16-byte grams that make an anchor's gram
@@ -181,7 +181,6 @@ def _expand(least: int):
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         """rows: (h, rd, n, windows, data), whole groups of h."""
-        rows = list({r[:2]: r for r in rows}.values())  # repeated rows name one run twice
         hits = repeated_starts([r[4] for r in rows], [r[3] for r in rows], least)
         out = []
         for r, hit in zip(rows, hits):
@@ -240,6 +239,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rows = named(docs, id_column, text_column)
     table = run_table(rows, _measure(least, parts), "repeat-runs")
+    texts_once = packed(once(rows, table))
     occ = occurrences(table)
     # written, so that the join has two plain exchanges and can split a frequent anchor
     often = write_through(occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeat-anchors")
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     per_anchor = distinct.groupBy("h").agg(F.count("*").alias("c"))
     contents = distinct.join(per_anchor, "h")
     meeting = contents.where("c > 1").select("doc_id", "k", "h", "rd", "n", "loc", "c")
-    texts = write_through(with_text(packed(rows), per_row(meeting, "h", "rd", "n", "loc", "c")).mapInArrow(
+    texts = write_through(with_text(texts_once, per_row(meeting, "h", "rd", "n", "loc", "c")).mapInArrow(
         _texts(least, hot), "h long, rd long, n long, at long, windows long, data binary, w1 long, w2 long"), "repeat-texts")
     dealt = texts.where("w1 IS NULL").select("h", "rd", "n", "windows", "data").repartition("h").sortWithinPartitions("h")
     expanded = dealt.mapInArrow(_expand(least), "h long, rd long, a long, len long")
@@ -257,6 +257,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     alone = contents.where("c = 1 AND n > 1").select("h", "rd", F.lit(0).cast("long").alias("a"), (F.col("loc") % LOC + 1).alias("len"))
     spans = write_through(expanded.unionByName(single).unionByName(alone), "repeat-spans")
     hits = found.join(spans, ["h", "rd"]).select("doc_id", "k", (F.floor(F.col("loc") / LOC) + F.col("a")).alias("a"), "len")
-    removed = with_text(packed(rows), per_row(hits, "a", "len")).mapInArrow(_remove(least), "doc_id long, k long, removed long, spans long, kept string")
+    removed = with_text(texts_once, per_row(hits, "a", "len")).mapInArrow(_remove(least), "doc_id long, k long, removed long, spans long, kept string")
     return completed(table, removed, {"n_bytes": F.col("size"), "n_removed": F.coalesce("removed", F.lit(0)),
                                       "n_spans": F.coalesce("spans", F.lit(0)), "kept_sha256": F.coalesce("kept", "sha256")})

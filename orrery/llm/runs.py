@@ -71,8 +71,17 @@ def occurrences(table: DataFrame) -> DataFrame:
 
 
 def per_row(found: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of all rows with one name as a list ``found``; never more than a text has runs."""
-    return found.groupBy(*NAMES).agg(F.collect_list(F.struct(*columns)).alias("found"))
+    """The different ``columns`` of all rows with one name as a list ``found``: however often a row is
+    repeated, never more than one text has runs (or windows, where ``found`` has single ones)."""
+    return found.groupBy(*NAMES).agg(F.collect_set(F.struct(*columns)).alias("found"))
+
+
+def once(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """One row per name of ``named`` rows, whose ``run_table`` is ``table``.  Only texts of repeated
+    rows are brought together, and those map-side first."""
+    again = write_through(table.groupBy(*NAMES).agg(F.count("*").alias("n")).where("n > 1").select(*NAMES), "repeated-rows")
+    same = same_row(rows, again)
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(NAMES))
 
 
 def with_text(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from orrery.llm import hosts, mixing, packing, passages, quality, repeats, secrets, simhash, tokens, topk, wavelet
+from orrery.llm import hosts, mixing, packing, passages, quality, repeats, runs, secrets, simhash, tokens, topk, wavelet
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, k long, fp string, tag long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -387,3 +387,19 @@ def test_repeats_of_a_frequent_passage_do_not_meet_in_one_task(spark, monkeypatc
     monkeypatch.setattr(repeats, "_expand", checked)
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=10)
     assert _counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _brute_repeats(rows, 200)
+
+
+def test_repeated_rows_meet_their_text_once(spark):
+    text = " ".join(f"w{k * 7919 % 1009}" for k in range(120))
+    rows = [(7, text)] * 30 + [(None, text)] * 30 + [(8, text + " x"), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named = runs.named(docs)
+    table = runs.run_table(named, passages._measure(50, 16), "test-runs")
+    met = runs.with_text(runs.once(named, table), runs.per_row(runs.occurrences(table), "loc")).collect()
+    counts = {(r.doc_id, r.k): r.n for r in table.selectExpr("doc_id", "k", "size(runs) AS n").collect()}
+    assert sorted(len(r.found) for r in met) == sorted(n for n in counts.values() if n) and len(met) == 3
+    assert runs.once(named, table).count() == 4
+    got = repeats.remove_repeats(docs)
+    assert _counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _brute_repeats(rows, 200)
+    gone = {(r.doc_id, r.n_removed) for r in passages.remove_passages(docs).collect()}
+    assert gone == {(7, 0), (None, 0), (8, 120), (9, 0)}
