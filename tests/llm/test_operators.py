@@ -403,3 +403,21 @@ def test_repeated_rows_meet_their_text_once(spark):
     assert _counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == _brute_repeats(rows, 200)
     gone = {(r.doc_id, r.n_removed) for r in passages.remove_passages(docs).collect()}
     assert gone == {(7, 0), (None, 0), (8, 120), (9, 0)}
+
+
+def test_credentials_behind_names_and_beside_finds(spark):
+    rng = random.Random(2)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    classes = lambda x: x.translate(secrets.CLASS_OF)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(16, 26))) for _ in range(600)]
+    formats = secrets.Formats([secrets.infer([classes(hexes(22).upper()) for _ in range(300)])], secrets.infer([classes(w) for w in words]))
+    value, other = hexes(22).upper(), hexes(40)
+    for text in (f"DB_KEY={value}", f"x/path/{value}", f"a.b={value}", f"a=b/{value}/c", f"{other}/{value}", f"AZ={value}/{other}"):
+        base, spans = secrets.scan_text(f"see {text} now", formats)
+        assert [f"see {text} now"[s:e] for s, k, e, _ in spans if k == 3] in ([value], [value + "/"], [value + "/c"]), text
+        assert value not in secrets.redact_text(f"see {text} now", spans)
+    for run in ("/" * 3000, "a/" + "/".join(words[:50])):
+        got = formats.ordinary.tail_likelihoods(classes(run), list(range(0, len(run), 97)))
+        assert all(abs(x - formats.ordinary.log_likelihood(classes(run[a:]))) < 1e-6 for a, x in got.items())
+    docs = spark.createDataFrame([(k, f"password: {hexes(10)} {words[k]} plainword") for k in range(50)], "doc_id long, text string")
+    assert secrets.learn(docs).least == 10 and secrets.learn(docs.limit(0)) is None
