@@ -69,7 +69,7 @@ def test_normal_cdf_text_matches_erfc(spark):
 def test_scenario_inputs_written_once_equal_direct(spark):
     """The written-through statistics give the same surveys and parameters as
     direct derivation, and the arrival chain then reads lineitem no more."""
-    from conftest import SF001
+    from paths import SF001
 
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     direct = [SC.surveys_from_lineitem(li), SC.params_from_lineitem(li, 2025)]

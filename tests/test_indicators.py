@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from conftest import SF01
+from paths import SF01
 from orrery.operators.indicators import indicators_all
 from orrery.sources.bars import bars_from_orders
 

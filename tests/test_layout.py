@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF1
+from paths import SF001, SF1
 from orrery.operators.indicators import INDICATOR_COLUMNS, indicators_all
 from orrery.plans.sequence import Series, layout, over_series
 from orrery.sources.bars import bars_from_orders

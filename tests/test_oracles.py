@@ -3,7 +3,7 @@ the driver entry point."""
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 import __spark_entry__ as entry
 from orrery.catalog import load_registry
 from orrery.catalog.check import compare, duck_connect
