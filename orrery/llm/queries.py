@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, packing, passages, quality, repeats, secrets, simhash, topk, wavelet
+from . import clusters, differencing, hosts, mixing, packing, passages, periodic, quality, repeats, secrets, simhash, topk, wavelet
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,43 @@ def op7(spark, sf_dir):
 @query("op5_suffix_dedup")
 def op5(spark, sf_dir):
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_karmarkar_karp_packing")
+def op11(spark, sf_dir):
+    return differencing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return periodic.run_report(periodic.periodic_runs(read_table(spark, sf_dir, "documents"), rewrite=periodic.repeat_tail))
+
+
+_NEAREST = """SELECT v.r, min({{'d': list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS best
+  FROM v, c{0} AS c GROUP BY v.r"""
+
+
+def _round(k: int) -> str:
+    """Centroids after round ``k`` from those before it."""
+    return f"""
+a{k} AS MATERIALIZED ({_NEAREST.format(k - 1)}),
+s{k} AS (SELECT best.c AS c, i, CAST(sum(v.v[i]) AS BIGINT) AS s, count(*) AS n FROM a{k} JOIN v USING (r), range(1, {clusters.DIMENSIONS} + 1) AS t(i) GROUP BY 1, 2),
+c{k} AS MATERIALIZED (SELECT o.c, coalesce(n.v, o.v) AS v FROM c{k - 1} o LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{k} GROUP BY c) n USING (c)),"""
+
+
+@query("op13_centroid_clusters", f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {clusters.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM v)
+  WHERE c < {clusters.CLUSTERS}
+),{"".join(_round(k) for k in range(1, clusters.ROUNDS + 1))}
+last AS MATERIALIZED ({_NEAREST.format(clusters.ROUNDS)})
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM last JOIN v USING (r) JOIN c{clusters.ROUNDS} AS c ON c.c = best.c
+""")
+def op13(spark, sf_dir):
+    return clusters.cluster(read_table(spark, sf_dir, "embeddings")).drop("centroid")
