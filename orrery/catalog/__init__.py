@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "arrival", "forecast", "features", "model", "text"]
+MODULES = ["series", "cover", "arrival", "forecast", "features", "model", "risk", "text"]
 
 
 def load_registry():

@@ -274,12 +274,12 @@ def _split_sql(rule: str) -> str:
 
 @register("chronological_split_ceil", _split_sql("ceil"))
 def q_split_ceil(spark, sf):
-    return FE.with_split(f0_of(spark, sf), S, 0.2, "ceil").select("symbol", "bar_date", "is_test")
+    return FE.features_with_split(orders_bars(spark, sf), S, 0.2, "ceil").select("symbol", "bar_date", "is_test")
 
 
 @register("chronological_split_floor", _split_sql("floor"))
 def q_split_floor(spark, sf):
-    return FE.with_split(f0_of(spark, sf), S, 0.2, "floor").select("symbol", "bar_date", "is_test")
+    return FE.features_with_split(orders_bars(spark, sf), S, 0.2, "floor").select("symbol", "bar_date", "is_test")
 
 
 @register(

@@ -57,10 +57,14 @@ def start_of(spark, sf):
     return plan.join(start, "symbol")
 
 
-def impact_of(spark, sf):
-    li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(*SC.scenario_inputs(li, BASE))
-    return A.impact_factor(A.year_probabilities(post, 0, N_YEARS))
+def post_of(spark, sf):
+    return A.posterior_moments(*SC.scenario_inputs(table(spark, sf, "lineitem"), BASE))
+
+
+def impact_of(spark, sf, post=None):
+    """D10 for the forecast's years; a query that needs the posterior too passes its own, so that the
+    statistics are written once."""
+    return A.impact_factor(A.year_probabilities(post if post is not None else post_of(spark, sf), 0, N_YEARS))
 
 
 def path_of(spark, sf):
@@ -172,9 +176,8 @@ def q_forecast_path(spark, sf):
     fsql("SELECT symbol, scenario_id, step, round(forecasted_close / close, 9) AS cumulative_factor FROM path"),
 )
 def q_compound_path(spark, sf):
-    start = start_of(spark, sf)
-    p = G.forecast_path(start, impact_of(spark, sf), DAYS).join(start.select("symbol", "scenario_id", "close"), ["symbol", "scenario_id"])
-    return p.select("symbol", "scenario_id", "step", F.round(F.col("forecasted_close") / F.col("close"), 9).alias("cumulative_factor"))
+    p = path_of(spark, sf)
+    return p.select("symbol", "scenario_id", "step", F.round(F.col("forecasted_close") / F.col("last_close"), 9).alias("cumulative_factor"))
 
 
 @register(
@@ -221,8 +224,7 @@ def summary_sql() -> str:
 
 @register("horizon_summary", summary_sql())
 def q_horizon_summary(spark, sf):
-    start = start_of(spark, sf)
-    s = G.horizon_summary(G.forecast_path(start, impact_of(spark, sf), DAYS), start, DAYS)
+    s = G.path_summary(path_of(spark, sf), DAYS)
     out = []
     for c in s.columns:
         if c.endswith("_price") and c != "current_price":

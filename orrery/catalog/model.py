@@ -19,19 +19,18 @@ from ..operators import features as FE
 from ..operators import forecast as G
 from ..operators import model as M
 from ..plans.sequence import Series
-from ..sources import scenarios as SC
 from ..session import scratch_path
 from ..sources.sinks import write_json
-from .common import dbl, orders_bars, register, table
-from .features import F1_SQL_BODY, f0_of, f1_of, landscape_of
-from .forecast import BASE, DAYS, FORECAST_SQL, impact_of, q_horizon_summary, start_of, summary_sql
+from .common import dbl, orders_bars, register
+from .features import F1_SQL_BODY, f1_of, landscape_of
+from .forecast import BASE, DAYS, FORECAST_SQL, impact_of, post_of, q_horizon_summary, start_of, summary_sql
 
 S = Series("symbol", "bar_date")
 COLS = FE.feature_columns()
 
 
 def split_of(spark, sf):
-    return FE.with_split(f0_of(spark, sf), S, 0.2, "ceil")
+    return FE.features_with_split(orders_bars(spark, sf), S, 0.2, "ceil")
 
 
 def split_features(spark, sf):
@@ -40,7 +39,8 @@ def split_features(spark, sf):
 
 
 def fitted(spark, sf):
-    return M.train_forest(split_features(spark, sf).filter(~F.col("is_test")), COLS)
+    """The forest of the training rows: fitted by whichever query comes first, then read."""
+    return M.stored_forest(split_features(spark, sf).filter(~F.col("is_test")), COLS)
 
 
 def latest_features(spark, sf):
@@ -79,9 +79,12 @@ def q_rf_predict(spark, sf):
 @register("rf_evaluate")
 def q_rf_evaluate(spark, sf):
     """M3: R^2 on train and test rows."""
+    return scores(spark, sf)
+
+
+def scores(spark, sf):
     sp = split_features(spark, sf)
-    model = M.train_forest(sp.filter(~F.col("is_test")), COLS)
-    return M.evaluate(model, sp.filter(~F.col("is_test")), sp.filter(F.col("is_test")))
+    return M.evaluate(fitted(spark, sf), sp.filter(~F.col("is_test")), sp.filter(F.col("is_test")))
 
 
 @register("feature_importance_topk")
@@ -111,6 +114,18 @@ def q_forecast_job(spark, sf):
 GENERATION_TIME = "2002-01-01T00:00:00"
 HISTORICAL_YEARS = 5
 
+
+@register("forecast_job_summary")
+def q_forecast_job_summary(spark, sf):
+    """G7's last step: per (symbol, scenario) the horizons of the forest's forecast, the arrival
+    probability every five years, the run's parameters and the forest's scores."""
+    post = post_of(spark, sf)
+    path = G.forecast_path(forest_start(spark, sf), impact_of(spark, sf, post), DAYS)
+    probs = A.stride_probabilities(post, BASE)
+    return G.path_summary(path, DAYS).join(probs, "scenario_id").withColumns({
+        "generation_time": F.lit(GENERATION_TIME), "historical_years": F.lit(HISTORICAL_YEARS), "forecast_days": F.lit(DAYS),
+    }).crossJoin(F.broadcast(scores(spark, sf)))
+
 _SCORES_SQL = F1_SQL_BODY + f""",
 sp AS (SELECT symbol, {FE.TARGET} AS y, rn >= n - ceil(n * {dbl(0.2)}) AS is_test FROM (
          SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS rn,
@@ -204,9 +219,7 @@ def q_report_metrics(spark, sf):
     1-year forecast (NULL for a 365-day run), probability by 2030/35/40/50)."""
     from ..operators.reports import report_metrics
 
-    li = table(spark, sf, "lineitem")
-    post = A.posterior_moments(*SC.scenario_inputs(li, BASE))
-    start = start_of(spark, sf)
-    summ = G.horizon_summary(G.forecast_path(start, impact_of(spark, sf), DAYS), start, DAYS)
+    post = post_of(spark, sf)
+    summ = G.path_summary(G.forecast_path(start_of(spark, sf), impact_of(spark, sf, post), DAYS), DAYS)
     out = report_metrics(summ, post, REPORT_YEARS)
     return out.select("symbol", "scenario_id", "metric", F.round("value", 4).alias("value"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as I
 from ..operators import windows as W
-from ..operators.ewma import with_ewma
+from ..operators.ewma import ewma_over_gaps, with_ewma
 from ..plans.sequence import Series, over_series
 from ..session import scratch_path
 from ..sources import bars as B
@@ -226,6 +226,37 @@ def q_ewma_hourly(spark, sf):
     )
 
 
+# a day without a quote: some by the day's order count, and whole stretches
+NO_QUOTE = "volume % 3 = 2 OR (month(bar_date) IN (3, 4) AND year(bar_date) % 2 = 0)"
+
+
+def _gap_ema_sql(span: int) -> str:
+    """One step of the recursion: the mean so far, and rows since its last value."""
+    a = 2.0 / (span + 1.0)
+    w = f"power({dbl(1 - a)}, e.g{span} + 1)"
+    mean = f"CASE WHEN n.x IS NULL THEN e.y{span} WHEN e.y{span} IS NULL THEN n.x ELSE ({w} * e.y{span} + {dbl(a)} * n.x) / ({w} + {dbl(a)}) END"
+    return f"{mean}, CASE WHEN n.x IS NULL THEN e.g{span} + 1 ELSE 0 END"
+
+
+@register(
+    "ewma_gaps",
+    f"""WITH RECURSIVE bars AS ({BARS_SQL}),
+n AS (SELECT symbol, bar_date, CASE WHEN NOT ({NO_QUOTE}) THEN close END AS x,
+             row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS rn FROM bars),
+e(symbol, rn, y12, g12, y26, g26) AS (
+  SELECT symbol, rn, x, 0, x, 0 FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.symbol, n.rn, {_gap_ema_sql(12)}, {_gap_ema_sql(26)} FROM e JOIN n ON n.symbol = e.symbol AND n.rn = e.rn + 1
+)
+SELECT symbol, bar_date, x AS quote, round(y12, 3) AS ema12, round(y26, 3) AS ema26 FROM n JOIN e USING (symbol, rn)""",
+)
+def q_ewma_gaps(spark, sf):
+    """W7 with missing quotes; each span lays the series out for its own halo."""
+    bars = orders_bars(spark, sf).select("symbol", "bar_date", F.expr(f"CASE WHEN NOT ({NO_QUOTE}) THEN close END").alias("quote"))
+    out = ewma_over_gaps(ewma_over_gaps(bars, "quote", "ema12", 12, S), "quote", "ema26", 26, S)
+    return out.select("symbol", "bar_date", "quote", F.round("ema12", 3).alias("ema12"), F.round("ema26", 3).alias("ema26"))
+
+
 @register(
     "ordinal",
     f"SELECT symbol, bar_date, row_number() OVER w - 1 AS rn FROM ({BARS_SQL}) {W_SQL}",
@@ -313,15 +344,16 @@ def flagship(spark, sf_dir: str) -> DataFrame:
 
 @register(
     "require_nonempty",
-    f"""SELECT DISTINCT o_orderpriority AS symbol FROM orders
-        WHERE o_orderpriority NOT IN (SELECT symbol FROM ({BARS_SQL})
-                                      WHERE bar_date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}')""",
+    f"""SELECT symbol FROM (SELECT o_orderpriority AS symbol FROM orders UNION SELECT event_type FROM events)
+        WHERE symbol NOT IN (SELECT symbol FROM ({BARS_SQL})
+                             WHERE bar_date BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}')""",
 )
 def q_require_nonempty(spark, sf):
-    """The job-level guard (raises on an empty range) followed by the
-    per-series check (requested symbols without bars in the range)."""
+    """The job-level guard (raises on an empty range) followed by the per-series check: requested
+    symbols, event types among them, without order bars in the range."""
     bars = B.require_nonempty(B.bars_date_range(orders_bars(spark, sf), RANGE_START, RANGE_END))
-    requested = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"))
+    requested = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol")).unionByName(
+        table(spark, sf, "events").select(F.col("event_type").alias("symbol")))
     return B.missing_symbols(requested, bars)
 
 

@@ -71,6 +71,36 @@ def q_topic_prompts(spark, sf):
     return E.topic_prompts(req, prompts_of(spark, sf, True), factory=make_client)
 
 
+def make_batch_client():
+    """Builds a deterministic stand-in for a batched text service: the words of each prompt and its
+    longest one; a batch with a marked prompt fails as a whole."""
+
+    def words_client(prompts: list[str]) -> list[str]:
+        if any(MARKER in p for p in prompts):
+            raise ValueError("prompt holds a marker")
+        words = [p.replace("\n", " ").split(" ") for p in prompts]
+        return [f"words={sum(1 for w in x if w)} longest={max(map(len, x), default=0)}" for x in words]
+
+    return words_client
+
+
+@register(
+    "resumable_enrich",
+    f"""SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS topic,
+               CASE WHEN contains(text, '{MARKER}') THEN '{E.ERROR_PREFIX}prompt holds a marker'
+                    ELSE 'words=' || CAST(len(list_filter(w, lambda x: x <> '')) AS VARCHAR) || ' longest='
+                         || CAST(list_max(list_transform(w, lambda x: length(x))) AS VARCHAR) END AS response,
+               NOT contains(text, '{MARKER}') AS ok, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS run
+        FROM (SELECT *, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents)""",
+)
+def q_resumable_enrich(spark, sf):
+    """U3 resumed: a first run asks for the English documents, a second for all; it has to ask only
+    for the rest, which the run number of each reply shows."""
+    store = scratch_path(spark, f"replies-{uuid.uuid4().hex}")
+    E.resumable_enrich(prompts_of(spark, sf, True), store, make_batch_client, rounds=2)
+    return E.resumable_enrich(prompts_of(spark, sf, False), store, make_batch_client, rounds=2).select("topic", "response", "ok", "run")
+
+
 def horizon_of(spark, sf):
     li = table(spark, sf, "lineitem")
     return A.horizon_probability(A.posterior_moments(*SC.scenario_inputs(li, LAND_BASE)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from typing import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Reply texts of the reference's topic lookup.
@@ -79,12 +79,73 @@ def topic_prompts(requests: DataFrame, prompts: DataFrame, client: Client | None
         "topic", F.coalesce("response", F.concat(F.lit(UNKNOWN_TOPIC), F.col("topic"))).alias("response"))
 
 
+BatchClient = Callable[[list[str]], list[str]]
+REPLY = "key string, response string, ok boolean, run int"
+
+
+def _ask_in_batches(factory: Callable[[], BatchClient], batch_size: int, run: int):
+    def ask(batches):
+        client = factory()
+        for pdf in batches:
+            for at in range(0, len(pdf), batch_size):
+                part = pdf.iloc[at: at + batch_size]
+                prompts = part["prompt"].tolist()
+                try:
+                    replies = [(str(r), True) for r in client(prompts)]
+                    if len(replies) != len(prompts):
+                        raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+                except Exception:  # the batch as a whole failed: each prompt alone, so that one cannot spoil the others
+                    replies = []
+                    for prompt in prompts:
+                        try:
+                            replies.append((str(client([prompt])[0]), True))
+                        except Exception as e:
+                            replies.append((f"{ERROR_PREFIX}{e}", False))
+                yield pd.DataFrame({"key": part["key"].tolist(), "response": [r for r, _ in replies], "ok": [ok for _, ok in replies], "run": run})
+
+    return ask
+
+
+def read_replies(spark: SparkSession, store: str) -> DataFrame:
+    """The newest reply per key, successful ones first: ``key, response, ok, run``."""
+    kept = spark.read.schema(REPLY).parquet(store)
+    best = kept.groupBy("key").agg(F.max_by(F.struct("response", "ok", "run"), F.struct("ok", "run")).alias("_r"))
+    return best.select("key", "_r.*")
+
+
+def resumable_enrich(rows: DataFrame, store: str, factory: Callable[[], BatchClient], *, batch_size: int = 32, rounds: int = 8,
+                     retry_errors: bool = False) -> DataFrame:
+    """U3 with batched calls and a reply table that outlives the job: ``rows`` (topic, prompt, ...) with
+    ``response``, ``ok`` and ``run``, the number of the run that got the reply.
+
+    A key is a hash of topic and prompt, so a changed prompt is asked again and equal rows are asked
+    once.  Keys are dealt to ``rounds`` by their hash; a round is one job that asks the keys without a reply, in
+    batches, and appends theirs to ``store`` (a folder in shared storage) when it ends.  A run that is
+    ended mid-way has lost at most its current round: the next one asks only for what is missing, with
+    ``retry_errors`` also for what had failed.  A task lost inside a round repeats its own part of it.  Null prompts are not asked.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("_key", F.sha2(F.concat_ws("\x1f", F.coalesce("topic", F.lit("")), "prompt"), 256))
+    spark.createDataFrame([], REPLY).write.mode("append").parquet(store)  # so that there is something to read
+    before = read_replies(spark, store)
+    run = before.agg(F.coalesce(F.max("run"), F.lit(0))).head()[0] + 1
+    asked = keyed.where("prompt IS NOT NULL").select(F.col("_key").alias("key"), "prompt").dropDuplicates(["key"])
+    done = before.where("ok") if retry_errors else before
+    turn = F.pmod(F.xxhash64("key"), F.lit(rounds))
+    missing = asked.join(done, "key", "left_anti")
+    for (number,) in missing.select(turn).distinct().orderBy(turn).collect():  # at most ``rounds`` rows
+        todo = missing.where(turn == number)
+        todo.mapInPandas(_ask_in_batches(factory, batch_size, run), REPLY).write.mode("append").parquet(store)
+    replies = read_replies(spark, store).withColumnRenamed("key", "_key")
+    return keyed.join(replies, "_key", "left").drop("_key")
+
+
 def landscape(horizon: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     """U4: per scenario the sentiment placeholder, the 5-year probability
     and three texts — the client's responses when given, else the defaults."""
     out = horizon.select("scenario_id", F.lit(AI_SENTIMENT).alias("ai_sentiment"), "agi_probability")
     if responses is None:
         return out.select("*", *[F.lit(v).alias(k) for k, v in DEFAULT_TEXTS.items()])
-    one = responses.groupBy().pivot("topic", LANDSCAPE_TOPICS).agg(F.first("response"))
+    one = responses.groupBy().pivot("topic", LANDSCAPE_TOPICS).agg(F.min("response"))  # of several replies to a topic, the least
     one = one.select(*[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in DEFAULT_TEXTS.items()])
     return out.crossJoin(F.broadcast(one))

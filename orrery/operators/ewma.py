@@ -18,17 +18,18 @@ two-level block scan with ordinary window aggregates (JVM side, no Python):
 The scan is seeded at the first row of each laid-out block; with a halo of
 1024 rows the seed's influence on the block's own rows is below
 ``(1-a)^1024`` (under 1e-34 for spans up to 26), so results equal the
-series-wide recursion to double precision.  Input values must be non-null.
+series-wide recursion to double precision.  ``with_ewma`` is for values without
+nulls and fails on one; ``ewma_over_gaps`` takes series with missing values.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sequence import BLOCK, POS, SUB, SUB_ROWS, Series
+from ..plans.sequence import BLOCK, OWN, POS, SUB, SUB_ROWS, Series, layout, unlayout
 
 
 def carry_span(alpha: float, sub_rows: int = SUB_ROWS, tol_exp: int = 30) -> int:
@@ -46,7 +47,7 @@ def _dbl(v: float) -> str:
 
 def with_ewma(df: DataFrame, x: str, out: str, span: float, s: Series = Series(), *,
               alpha: float | None = None, back: int = 1024) -> DataFrame:
-    """Add ``out`` = exponential mean of column ``x`` (``adjust=False`` form).
+    """Add ``out`` = exponential mean of column ``x`` (``adjust=False`` form).  A null in ``x`` is an error.
 
     ``back`` is the layout's halo; a span whose seed still matters after so many rows is refused.
 
@@ -64,7 +65,7 @@ def with_ewma(df: DataFrame, x: str, out: str, span: float, s: Series = Series()
     A, D, BIG = _dbl(a), _dbl(d), _dbl(big)
     key, blk, sub, pos = (f"`{c}`" for c in (s.key, BLOCK, SUB, POS))
     q = f"({pos} - {sub} * {S})"
-    xv = f"`{x}`"
+    xv = f"(CASE WHEN `{x}` IS NULL THEN raise_error('null in {x}: use ewma_over_gaps') ELSE `{x}` END)"
     tmp = f"__{out}"
     in_sub = f"PARTITION BY {key}, {blk}, {sub} ORDER BY {pos}"
     df = df.withColumns(
@@ -93,3 +94,59 @@ def with_ewma(df: DataFrame, x: str, out: str, span: float, s: Series = Series()
         f"max(`{tmp}_c`) OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"))
     df = df.withColumn(out, F.expr(f"pow({D}, {q} + 1) * `{tmp}_c` + `{tmp}_local`"))
     return df.drop(f"{tmp}_local", f"{tmp}_bfull", f"{tmp}_x0", f"{tmp}_c")
+
+
+def slowest_decay(alpha: float) -> float:
+    """The least share per row by which an old value can fade, whatever rows are null.
+
+    After ``g`` rows the old value keeps ``d^g / (d^g + alpha)``; the rate per row is largest for some
+    ``g`` of the order of ``1 / alpha``, beyond which the power takes over."""
+    d = 1.0 - alpha
+    rates = ((d ** g / (d ** g + alpha)) ** (1.0 / g) for g in range(1, int(20 / alpha) + 2))
+    return max(rates)
+
+
+def ewma_over_gaps(df: DataFrame, x: str, out: str, span: float, series: Series = Series(), *, block_rows: int = 1 << 16,
+                   chunk_unit: str = "month", max_chunk_rows: int | None = None) -> DataFrame:
+    """W7 over series with nulls in ``x``: ``adjust=False``, weights counted in rows.
+
+    With ``g`` rows since the last value, a value enters as ``(d^g * y + alpha * x) / (d^g + alpha)``;
+    a row without a value repeats the mean so far, and rows before the first value have none.
+
+    Each row is an affine step ``y -> a * y + b``.  Steps are composed row by row inside sub-blocks of
+    32 rows, then over the sub-blocks that still matter at 1e-30 (by the slowest possible decay), inside blocks
+    whose halo is long enough for a weight to fall below 1e-16.  A value after more rows than that starts anew,
+    which is its limit; rows without a value at a block's start repeat the last block's mean, found on
+    a table of one row per block.
+    """
+    a = 2.0 / (span + 1.0)
+    d = 1.0 - a
+    rate = slowest_decay(a)
+    back = math.ceil(16 * math.log(10) / -math.log(rate))
+    m = math.ceil(30 * math.log(10) / -math.log(rate) / SUB_ROWS) + 1
+    key, blk, sub, pos = (f"`{c}`" for c in (series.key, BLOCK, SUB, POS))
+    A, D, last = _dbl(a), _dbl(d), SUB_ROWS - 1
+    in_block, in_sub = f"PARTITION BY {key}, {blk} ORDER BY {sub}, {pos}", f"PARTITION BY {key}, {blk}, {sub} ORDER BY {pos}"
+    laid = layout(df, series, back=back, ahead=0, block_rows=block_rows, chunk_unit=chunk_unit, max_chunk_rows=max_chunk_rows)
+    laid = laid.withColumn("__gap", F.expr(
+        f"{pos} - max(CASE WHEN `{x}` IS NOT NULL THEN {pos} END) OVER ({in_block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+    laid = laid.withColumn("__w", F.expr(f"pow({D}, __gap)"))
+    laid = laid.withColumn("__a", F.expr(f"CASE WHEN `{x}` IS NULL THEN 1D WHEN __gap IS NULL THEN 0D ELSE __w / (__w + {A}) END"))
+    laid = laid.withColumn("__b", F.expr(f"CASE WHEN `{x}` IS NULL THEN 0D ELSE (1 - __a) * `{x}` END"))
+    laid = laid.withColumn("__step", F.expr(
+        f"aggregate(collect_list(named_struct('a', __a, 'b', __b)) OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+        "named_struct('a', 1D, 'b', 0D), (s, e) -> named_struct('a', s.a * e.a, 'b', s.b * e.a + e.b))"))
+    carries = (f"array_sort(collect_list(CASE WHEN {pos} % {SUB_ROWS} = {last} THEN named_struct('k', {sub}, 'a', __step.a, 'b', __step.b) END) "
+               f"OVER (PARTITION BY {key}, {blk} ORDER BY {sub} RANGE BETWEEN {m} PRECEDING AND 1 PRECEDING))")
+    laid = laid.withColumn("__c", F.expr(f"CASE WHEN {pos} % {SUB_ROWS} = 0 THEN aggregate({carries}, 0D, (y, e) -> e.a * y + e.b) END"))
+    laid = laid.withColumn("__c", F.expr(f"max(__c) OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"))
+    laid = laid.withColumn("__y", F.expr(f"CASE WHEN `{x}` IS NOT NULL AND {OWN} THEN __step.a * __c + __step.b END"))
+    # a row without a value repeats the mean of the block's last value, or else that of the last block which has one:
+    # unlike a weight, a repeated mean does not fade over rows
+    laid = laid.withColumn(out, F.expr(f"last(__y, true) OVER ({in_block} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    laid = laid.drop("__gap", "__w", "__a", "__b", "__step", "__c", "__y")
+    blocks = laid.where(F.col(OWN)).groupBy(series.key, BLOCK).agg(F.max_by(F.col(out), F.when(F.col(out).isNotNull(), F.col(POS))).alias("_end"))
+    held = F.last("_end", True).over(Window.partitionBy(series.key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(F.col(series.key).alias("_ekey"), F.col(BLOCK).alias("_eblk"), held.alias("_held"))
+    filled = laid.join(blocks, F.col(series.key).eqNullSafe(F.col("_ekey")) & (F.col(BLOCK) == F.col("_eblk")), "left")
+    return unlayout(filled.withColumn(out, F.coalesce(out, "_held")).drop("_ekey", "_eblk", "_held"), keep_ordinal=False)

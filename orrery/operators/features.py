@@ -3,10 +3,10 @@ splits (W10, W11)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sequence import ORDINAL, Series, over_series
+from ..plans.sequence import BLOCK, ORDINAL, OWN, Series, layout, over_series
 from . import indicators as I
 from . import windows as W
 
@@ -94,6 +94,42 @@ def features_extended(bars: DataFrame, series: Series = Series(), **layout_opts)
     return raw_features(bars, series, extended=True, **layout_opts).dropna("any")
 
 
+def features_with_split(bars: DataFrame, series: Series = Series(), test_size: float = 0.2, rule: str = "ceil", embargo: int = 0,
+                        extended: bool = False, **layout_opts) -> DataFrame:
+    """F1 (without constants) or F2 with W10 / W11's ``is_test``, on the features' own layout.
+
+    Rows that keep all features are counted inside each block, in order, by one more window; one row per
+    block then gives every block its offset and every series its length.  So the split needs neither a
+    second layout nor a written copy of the features, and no job runs while it is built."""
+    laid = layout(bars, series, back=1024 if extended else 256, ahead=32, **layout_opts)
+    cols = [series.key, series.order, *feature_columns(extended, constants=False), TARGET]
+    built = _base_build(laid, series, extended)
+    floats = {f.name for f in built.schema if f.dataType.simpleString() in ("double", "float")}
+    whole = " AND ".join(f"`{c}` IS NOT NULL" + (f" AND NOT isnan(`{c}`)" if c in floats else "") for c in cols)  # as dropna("any")
+    built = built.withColumn("_kept", F.expr(f"CAST({OWN} AND {whole} AS INT)"))
+    built = built.withColumn("_nth", F.sum("_kept").over(series.w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = built.where("_kept = 1").select(*cols, BLOCK, "_nth")
+    blocks = rows.groupBy(series.key, BLOCK).agg(F.max("_nth").alias("_rows"))
+    w = Window.partitionBy(series.key)
+    before = F.sum("_rows").over(w.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")
+    blocks = blocks.select(F.col(series.key).alias("_bkey"), F.col(BLOCK).alias("_bblk"), before.alias("_before"), F.sum("_rows").over(w).alias("_n"))
+    out = rows.join(blocks, F.col(series.key).eqNullSafe(F.col("_bkey")) & (F.col(BLOCK) == F.col("_bblk")))
+    out = out.withColumn(ORDINAL, F.col("_before") + F.col("_nth") - 1)
+    return _split(out, test_size, rule, embargo).select(*cols, "is_test")
+
+
+def _split(rows: DataFrame, test_size: float, rule: str, embargo: int) -> DataFrame:
+    """``is_test`` from the ordinal and the length ``_n`` of each row's series."""
+    if rule == "ceil":
+        n_train = F.col("_n") - F.ceil(F.col("_n") * F.lit(test_size))
+    elif rule == "floor":
+        n_train = F.floor(F.col("_n") * F.lit(1.0 - test_size))
+    else:
+        raise ValueError(rule)
+    out = rows.withColumn("is_test", F.col(ORDINAL) >= n_train)
+    return out.where(F.col("is_test") | (F.col(ORDINAL) < n_train - embargo)) if embargo else out
+
+
 def project_columns(df: DataFrame, keys=("symbol", "bar_date")) -> DataFrame:
     """Keys + the nine base feature columns."""
     return df.select(*keys, *BASE_COLUMNS)
@@ -124,13 +160,5 @@ def with_split(features: DataFrame, series: Series = Series(), test_size: float
         ensure_checkpoint_dir(features.sparkSession)
         features = features.checkpoint(eager=True)
     out = over_series(features, lambda d, s: d, series, back=0, ahead=0, keep_ordinal=True, keep_length=True)
-    if rule == "ceil":
-        n_train = F.col("_n") - F.ceil(F.col("_n") * F.lit(test_size))
-    elif rule == "floor":
-        n_train = F.floor(F.col("_n") * F.lit(1.0 - test_size))
-    else:
-        raise ValueError(rule)
-    out = out.withColumn("is_test", F.col(ORDINAL) >= n_train)
-    if embargo:
-        out = out.filter(F.col("is_test") | (F.col(ORDINAL) < n_train - embargo))
+    out = _split(out, test_size, rule, embargo)
     return out.drop("_n", ORDINAL)

@@ -80,7 +80,8 @@ def forecast_path(start: DataFrame, impact: DataFrame, days: int = 365) -> DataF
     ``start`` has ``symbol, scenario_id, bar_date`` (last bar), ``close`` (last
     close) and ``predicted_return``; ``impact`` is D10's table per scenario.
     Output: ``symbol, scenario_id, step, forecast_date, block, adjusted_return,
-    forecasted_close``.
+    forecasted_close``, and the path's ``last_close`` and ``last_date``, so that what follows needs no
+    second look at ``start``.
     """
     steps = calendar_spine(start, days)
     steps = steps.withColumn("block", F.expr(f"cast(step div {BLOCK_DAYS} as int)")).withColumn(
@@ -101,7 +102,7 @@ def forecast_path(start: DataFrame, impact: DataFrame, days: int = 365) -> DataF
     return steps.select(
         "symbol", A.KEY, "step", "forecast_date", "block",
         F.when(F.col("block") >= 1, F.col("adjusted_return")).alias("adjusted_return"),
-        "forecasted_close",
+        "forecasted_close", F.col("close").alias("last_close"), F.col("bar_date").alias("last_date"),
     )
 
 
@@ -122,21 +123,22 @@ def milestones(path: DataFrame, days: int, steps=MILESTONE_DAYS) -> DataFrame:
     )
 
 
-def horizon_summary(path: DataFrame, start: DataFrame, days: int, horizons: dict = HORIZONS) -> DataFrame:
+def path_summary(path: DataFrame, days: int, horizons: dict = HORIZONS) -> DataFrame:
     """Price at step d-1 and % return against the last actual close for each
     horizon d with ``d < days`` (so a 365-day forecast has NULL 1-year columns,
     as in the reference); conditional aggregation, one row per path."""
-    aggs = []
+    aggs = [F.max("last_close").alias("current_price"), F.date_add(F.max("last_date"), 1).alias("forecast_date")]
     for label, d in horizons.items():
         price = F.max(F.when(F.col("step") == d - 1, F.col("forecasted_close"))) if d < days else F.lit(None).cast("double")
         aggs.append(price.alias(f"{label}_price"))
-    summ = path.groupBy("symbol", A.KEY).agg(*aggs)
-    base = start.select("symbol", A.KEY, F.col("close").alias("current_price"),
-                        F.date_add("bar_date", 1).alias("forecast_date"))
-    out = base.join(summ, ["symbol", A.KEY])
+    out = path.groupBy("symbol", A.KEY).agg(*aggs)
     for label in horizons:
         out = out.withColumn(f"{label}_return_pct", (F.col(f"{label}_price") / F.col("current_price") - 1) * 100)
-    cols = ["symbol", A.KEY, "current_price", "forecast_date"]
-    for label in horizons:
-        cols += [f"{label}_price", f"{label}_return_pct"]
-    return out.select(*cols)
+    return out.select("symbol", A.KEY, "current_price", "forecast_date",
+                      *[c for label in horizons for c in (f"{label}_price", f"{label}_return_pct")])
+
+
+def horizon_summary(path: DataFrame, start: DataFrame, days: int, horizons: dict = HORIZONS) -> DataFrame:
+    """G6 for any path table: the last close and date come from ``start``, one row per path."""
+    last = start.select("symbol", A.KEY, F.col("close").alias("last_close"), F.col("bar_date").alias("last_date"))
+    return path_summary(path.drop("last_close", "last_date").join(last, ["symbol", A.KEY]), days, horizons)

@@ -8,6 +8,10 @@ scikit-learn's tree for tree; results are judged by R^2 and row counts.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..session import scratch_path
 from .features import TARGET
 
 # The reference's forest settings (100 trees, seed 42, unlimited
@@ -93,6 +98,37 @@ def train_forest(train: DataFrame, cols: list[str], label: str = TARGET, *, num_
         data.unpersist()
 
 
+def fingerprint(rows: DataFrame, cols: list[str], label: str, settings: dict) -> str:
+    """A name for (rows, columns, settings): sums over row hashes, so that neither order nor
+    partitioning matter and repeated rows count; one pass, partially aggregated."""
+    h = F.xxhash64(*cols, label)
+    mark = rows.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64(h).cast("decimal(38,0)"))).head()
+    text = json.dumps([[str(v) for v in mark], cols, label, rows.select(*cols, label).schema.simpleString(), settings], sort_keys=True)
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
+def stored_forest(train: DataFrame, cols: list[str], label: str = TARGET, *, folder: str | None = None, **settings) -> PipelineModel:
+    """M1 kept: the forest of these rows and settings, fitted once and read from ``folder`` (by default in the
+    session's shared folder) by everyone after.
+
+    Changed rows, columns or settings have another fingerprint and are fitted anew.  A model is written
+    under a name of its own and then renamed, so half-written ones are never read; of two that fit at
+    the same time, the first to finish stays.
+    """
+    spark = train.sparkSession
+    base = (folder or scratch_path(spark, "forests")).rstrip("/")
+    name = fingerprint(train, cols, label, settings)
+    jvm = spark._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = place(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place(f"{base}/{name}")):
+        own = f"{base}/.{name}-{uuid.uuid4().hex}"
+        train_forest(train, cols, label, **settings).save(own)
+        if store.exists(place(f"{base}/{name}")) or not store.rename(place(own), place(f"{base}/{name}")):
+            store.delete(place(own), True)
+    return PipelineModel.load(f"{base}/{name}")
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """M2: add ``prediction`` (the 30-row return) to every row."""
     return model.transform(df).drop("features")

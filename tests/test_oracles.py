@@ -16,6 +16,8 @@ FAST = [
     "nearest_threshold_year", "forecast_path", "horizon_summary", "year_join_with_fallback", "milestones",
     "features_pipeline", "chronological_split_ceil", "cache_fresh_filter", "bars_store_roundtrip",
     "topic_prompts", "topic_batch_enrich", "landscape_defaults", "report_metrics", "r2_score", "bars_stream_append",
+    "cache_cover", "cache_gaps", "cache_fallback", "ewma_gaps", "integrated_distribution", "integrated_quantiles",
+    "integrated_probabilities", "parameter_sweep", "monte_carlo_quantiles", "expanding_folds", "resumable_enrich", "require_nonempty",
     "bars_csv_roundtrip", "bars_default_range", "feature_vector", "summary_json_sink", "analysis_json_sink", "landscape_with_client",
 ]
 
@@ -28,7 +30,7 @@ def con():
 def test_every_query_has_sql_or_is_a_forest():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows_only = {name for name, q in load_registry().items() if q.sql is None}
-    assert rows_only == {"rf_train", "rf_predict", "rf_evaluate", "feature_importance_topk", "forecast_job"}
+    assert rows_only == {"rf_train", "rf_predict", "rf_evaluate", "feature_importance_topk", "forecast_job", "forecast_job_summary"}
 
 
 @pytest.mark.parametrize("name", FAST)
