@@ -10,7 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 PLACE_BITS = 20  # of a packed minimum; longer sequences are taken in parts
-PART = (1 << PLACE_BITS) - 4096
+MOST_WINDOWS = 4096  # that a run can have, and so the widest window in grams
+PART = (1 << PLACE_BITS) - MOST_WINDOWS
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # multipliers of a 64-bit mixer
 _S = np.uint64(33)
 

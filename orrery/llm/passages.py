@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_through
 from . import anchors
-from .runs import LOC, completed, named, occurrences, once, per_row, run_table, with_text
+from .runs import LOC, check_width, completed, named, occurrences, once, per_row, run_table, with_text
 
 WINDOW_WORDS, GRAM_WORDS = 50, 16
 SKETCH_ROWS, SKETCH_BITS = 2, 40  # rows of the sketch, and the logarithm of their width
@@ -122,8 +122,9 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     as a whole; windows are grouped one by one (by a 128-bit hash of their words) only for the first
     row of each distinct run, and only where its anchor has other runs.  A null text counts as
     empty; null ids are never smaller, and rows with null ids keep everything; repeated rows keep or
-    lose alike; extra columns are not read; an empty table gives no rows.
+    lose alike; extra columns are not read; an empty table gives no rows.  ``window`` is at least ``gram``.
     """
+    check_width("window", window, gram)
     rows = named(docs, id_column, text_column)
     table = run_table(rows, _measure(window, gram), "passage-runs")
     rows = once(rows, table)

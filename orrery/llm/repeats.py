@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import write_through
 from . import anchors
 from .passages import _covered
-from .runs import LOC, completed, named, occurrences, once, packed, per_row, run_table, unpacked, with_text
+from .runs import LOC, check_width, completed, named, occurrences, once, packed, per_row, run_table, unpacked, with_text
 
 MINIMUM = 200  # bytes
 GRAM_PARTS = 4  # 16-byte grams that make an anchor's gram
@@ -235,8 +235,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Strings are judged on the input.  A null text counts as empty; ids may be null; repeated rows are
     places of their own, so all their strings of that length go; extra columns are not read; an
-    empty table gives no rows.
+    empty table gives no rows.  ``least`` is at least an anchor's 16 * ``parts`` bytes.
     """
+    check_width("least", least, 16 * parts)
     rows = named(docs, id_column, text_column)
     table = run_table(rows, _measure(least, parts), "repeat-runs")
     texts_once = packed(once(rows, table))

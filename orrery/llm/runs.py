@@ -2,7 +2,7 @@
 
 Every row of a corpus is named by its id and a hash of id and text.  Its windows are kept as runs
 (see ``anchors``): the anchor's hash ``h``, a hash ``rd`` of all that the run spans, and ``loc``, the
-first window times 256 plus the number of windows less one.  (h, rd) names the run's content.
+first window times LOC plus the number of windows less one.  (h, rd) names the run's content.
 """
 
 from __future__ import annotations
@@ -16,11 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_through
+from . import anchors
 
-LOC = 256  # more than a run ever has windows
+LOC = anchors.MOST_WINDOWS  # more than the number of windows less one
 NAMES = ["doc_id", "k"]
 
 
+def check_width(what: str, length: int, gram: int) -> None:
+    """Raises unless windows of ``length`` hold at least one gram and at most as many as a run has room for.  A run's
+    windows all hold its anchor, so it never has more windows than a window has grams."""
+    if not gram <= length < gram + anchors.MOST_WINDOWS:
+        raise ValueError(f"{what} must lie between {gram} and {gram + anchors.MOST_WINDOWS - 1}")
+
+
 def named(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, k, text); a null text counts as empty."""
     return docs.select(F.col(id_column).cast("long").alias("doc_id"),
