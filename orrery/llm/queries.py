@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import clusters, differencing, hosts, mixing, packing, passages, periodic, quality, repeats, secrets, simhash, topk, wavelet
 from .common import read_table
@@ -66,12 +67,13 @@ _SUFFIX = " ".join(f"WHEN host = '{x}' OR ends_with(host, '.{x}') THEN '{x}'" fo
 
 @query("op10_url_filters", f"""
 WITH own AS (
-  SELECT page_id, coalesce(translate({_PART.format(1)}, '{hosts.UPPER}', '{hosts.LOWER}'), '') AS host, coalesce({_PART.format(2)}, '') AS path FROM pages
+  SELECT *, TRY_CAST(regexp_extract(path, '{hosts.DOCUMENT}', 1) AS BIGINT) AS document FROM (
+    SELECT page_id, coalesce(translate({_PART.format(1)}, '{hosts.UPPER}', '{hosts.LOWER}'), '') AS host, coalesce({_PART.format(2)}, '') AS path FROM pages)
 ), outcome AS (
-  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+  SELECT doc_id AS document, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
 ), h AS (
-  SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM own LEFT JOIN outcome USING (page_id) GROUP BY host
+  SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM own LEFT JOIN outcome USING (document) GROUP BY host
 ), s AS (SELECT *, CASE {_SUFFIX} ELSE split_part(host, '.', -1) END AS suffix FROM h),
 r AS (SELECT *, split_part(left(host, greatest(length(host) - length(suffix) - 1, 0)), '.', -1) AS label FROM s),
 host_g AS (SELECT host AS name, CASE WHEN label = '' THEN host ELSE label || '.' || suffix END AS parent, suffix, n, bad FROM r),
@@ -81,12 +83,13 @@ root AS (SELECT '' AS name, {hosts.PRIOR[0]} + coalesce(sum(bad), 0) AS a, {host
 {_level('tops', 'top_g', 'root')}, {_level('domains', 'domain_g', 'tops')}, {_level('hosts_p', 'host_g', 'domains')},
 rated AS (SELECT name, a / (a + b) AS rate, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM hosts_p)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {_FITS.format(r.host, r.path)} THEN '{r.rule}'" for r in _RULES)} END AS rule,
-  CASE {" ".join(f"WHEN {_FITS.format(r.host, r.path)} THEN '{r.verdict}'" for r in _RULES)} WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE {" ".join(f"WHEN {_FITS.format(r.host, r.path)} THEN '{r.verdict}'" for r in _RULES)} WHEN low > (SELECT a / (a + b) FROM root) THEN 'block' ELSE 'allow' END AS verdict,
   round(rate, 6) AS bad_rate, round(low, 6) AS lower_bound
 FROM own LEFT JOIN rated ON rated.name = own.host
 """)
 def op10(spark, sf_dir):
-    return hosts.judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+    """A page is the document that its url names, and is blocked when its host's lower bound passes the overall rate."""
+    return hosts.judge_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), document=hosts.document_of(F.col("url")), lift=1.0)
 
 
 @query("op3_wavelet_tokens")
