@@ -1,6 +1,12 @@
 """Quality by weak supervision: rules vote or abstain, expectation-maximisation estimates how
 far each rule can be trusted, and a document is kept by its posterior quality probability.
 
+A document is good or one of several kinds of junk, one kind to start with for each rule.  Every kind has its
+own probability that a rule which votes on it votes bad; an abstention says nothing.  So rules that see
+the same junk become a kind together and do not count as independent witnesses, and junk that a single
+rule sees need not be explained as a habit of good documents.  Estimates start at and are drawn towards a prior
+that weighs a tenth of the corpus, whatever its size; none is cut off.
+
 Every expression is a built-in Spark function.  The estimation works on vote patterns, of which
 there are at most ``3 ** len(RULES)`` whatever the corpus holds, folded into one row.
 """
@@ -41,15 +47,10 @@ RULES = (
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
 ITERATIONS = 40
-# Share of good documents; trust in good votes and in bad votes: a bad vote is rarely wrong, a good
-# one says little.
-START = (0.9, 0.995, 0.2)
-# Pseudo-counts (agreeing, all) for rules that rarely vote.
-PRIOR_SHARE, PRIOR_GOOD, PRIOR_BAD = (9.0, 10.0), (4.975, 5.0), (1.0, 5.0)
-# Bounds of the estimates.  No vote ever counts against its own direction, so a document without a
-# bad vote is always kept; and a rule is taken to be wrong on at most one good document in a hundred,
-# so a kind of junk that only one rule sees can't be explained as a habit of good documents.
-BOUND_SHARE, BOUND_GOOD, BOUND_BAD = (0.5, 0.999), (0.99, 0.999), (0.1, 0.9)
+# Prior, and start: the share of each kind of junk, and the probability of a bad vote, where the rule votes,
+# on a good document, on the rule's own kind of junk and on another rule's kind.
+JUNK_SHARE, BAD_ON_GOOD, BAD_ON_OWN, BAD_ON_OTHER = 0.02, 0.005, 0.8, 0.1
+PRIOR_WEIGHT = 0.1  # documents that the prior stands for, as a share of the corpus
 
 
 def _removed(symbols: str, text: str = "text") -> str:
@@ -102,50 +103,51 @@ def votes_sql(rules=RULES) -> str:
     return "array(" + ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in rules) + ")"
 
 
-def posterior_sql(state: str, v: str) -> str:
-    """P(good | votes): prior odds times, for each vote given, its likelihood ratio."""
-    return f"""1D / (1D + exp(-(ln({state}.share / (1D - {state}.share)) + aggregate(
-        sequence(0, size({v}) - 1), 0D, (t, j) -> t + CASE {v}[j]
-            WHEN 1 THEN ln({state}.a[j] / (1D - {state}.b[j]))
-            WHEN -1 THEN ln((1D - {state}.a[j]) / {state}.b[j]) ELSE 0D END))))"""
-
+def _likelihoods_sql(state: str, v: str, n_rules: int) -> str:
+    """Per kind (good first) its share times the probability of the votes given."""
+    return f"""transform(sequence(0, {n_rules}), c -> {state}.share[c] * aggregate(sequence(0, {n_rules - 1}), 1D,
+        (t, j) -> t * CASE {v}[j] WHEN -1 THEN {state}.bad[c][j] WHEN 1 THEN 1D - {state}.bad[c][j] ELSE 1D END))"""
 
-def _fit_sql(n_rules: int) -> str:
-    """The expectation-maximisation over ``patterns`` (votes, n), as one fold."""
-    share, good, bad = START
-    rules = f"sequence(0, {n_rules - 1})"
 
-    def bounded(x: str, bound: tuple[float, float]) -> str:
-        return f"least(greatest({x}, {bound[0]}D), {bound[1]}D)"
+def posterior_sql(state: str, v: str, n_rules: int = len(RULES)) -> str:
+    """P(good | votes)."""
+    return f"transform(array({_likelihoods_sql(state, v, n_rules)}), l -> l[0] / aggregate(l, 0D, (t, x) -> t + x))[0]"
 
-    def trust(vote: int, weight: str, prior: tuple[float, float], bound: tuple[float, float]) -> str:
-        return f"""transform({rules}, j -> {bounded(agreed(vote, weight, prior), bound)})"""
 
-    def agreed(vote: int, weight: str, prior: tuple[float, float]) -> str:
-        return f"""(aggregate(ps, {prior[0]}D, (t, p) -> t + CASE WHEN p.votes[j] = {vote} THEN {weight} ELSE 0D END)) /
-            (aggregate(ps, {prior[1]}D, (t, p) -> t + CASE WHEN p.votes[j] <> 0 THEN {weight} ELSE 0D END))"""
-
-    share_now = f"""aggregate(ps, {PRIOR_SHARE[0]}D, (t, p) -> t + p.good) /
-            aggregate(ps, {PRIOR_SHARE[1]}D, (t, p) -> t + p.n)"""
+def _fit_sql(n_rules: int) -> str:
+    """The expectation-maximisation over ``patterns`` (votes, n), as one fold.  Kind 0 is good, kind j + 1
+    starts as what rule j sees."""
+    kinds, rules = f"sequence(0, {n_rules})", f"sequence(0, {n_rules - 1})"
+    share_prior = f"CASE WHEN c = 0 THEN {1 - JUNK_SHARE * n_rules}D ELSE {JUNK_SHARE}D END"
+    bad_prior = f"CASE WHEN c = 0 THEN {BAD_ON_GOOD}D WHEN c = j + 1 THEN {BAD_ON_OWN}D ELSE {BAD_ON_OTHER}D END"
+    weight = f"{PRIOR_WEIGHT}D * total"
+
+    def summed(where: str) -> str:
+        return f"aggregate(ps, 0D, (t, p) -> t + CASE WHEN {where} THEN p.w[c] ELSE 0D END)"
+
+    # per pattern the documents of each kind
+    responsible = f"""transform(array({_likelihoods_sql('s', 'p.votes', n_rules)}),
+        l -> transform(l, x -> p.n * x / aggregate(l, 0D, (t, y) -> t + y)))[0]"""
     return f"""aggregate(sequence(1, {ITERATIONS}),
-      named_struct('share', {share}D, 'a', array_repeat({good}D, {n_rules}), 'b', array_repeat({bad}D, {n_rules})),
-      (s, i) -> transform(array(transform(patterns, p -> struct(p.votes AS votes, p.n * ({posterior_sql('s', 'p.votes')}) AS good, p.n AS n))),
+      named_struct('share', transform({kinds}, c -> {share_prior}), 'bad', transform({kinds}, c -> transform({rules}, j -> {bad_prior}))),
+      (s, i) -> transform(array(transform(patterns, p -> struct(p.votes AS votes, {responsible} AS w))),
         ps -> named_struct(
-          'share', {bounded(share_now, BOUND_SHARE)},
-          'a', {trust(1, 'p.good', PRIOR_GOOD, BOUND_GOOD)},
-          'b', {trust(-1, '(p.n - p.good)', PRIOR_BAD, BOUND_BAD)}))[0])"""
+          'share', transform({kinds}, c -> ({weight} * {share_prior} + {summed('true')}) / ({weight} + total)),
+          'bad', transform({kinds}, c -> transform({rules}, j ->
+             ({weight} * {share_prior} * {bad_prior} + {summed('p.votes[j] = -1')}) / ({weight} * {share_prior} + {summed('p.votes[j] <> 0')})))))[0])"""
 
 
 def pattern_posteriors(voted: DataFrame, n_rules: int = len(RULES)) -> DataFrame:
-    """One row per vote pattern present (at most ``3 ** n_rules``) with its posterior ``p_good``.
+    """One row per vote pattern present (at most ``3 ** n_rules``) with its posterior ``p_good`` and the
+    estimates ``state``: ``share`` of each kind and, per kind and rule, the probability ``bad`` of a bad vote.
 
     Pattern counts are summed map-side; the estimate is a fold over the one row that holds them.
     """
     counts = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
-    one = counts.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("patterns"))
+    one = counts.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("patterns"), F.sum("n").alias("total"))
     fitted = one.withColumn("state", F.expr(_fit_sql(n_rules)))
     return fitted.select("state", F.explode("patterns").alias("p")).select(
-        F.col("p.votes").alias("votes"), F.expr(posterior_sql("state", "p.votes")).alias("p_good"))
+        F.col("p.votes").alias("votes"), F.expr(posterior_sql("state", "p.votes", n_rules)).alias("p_good"), "state")
 
 
 def judged(docs: DataFrame, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -154,14 +156,14 @@ def judged(docs: DataFrame, text_column: str = "text", threshold: float = 0.5) -
 
     Repeated rows are judged alike, extra columns are carried and never clash, an empty table gives
     no rows.  The counts are written once to the shared folder, since both the estimate and the
-    verdict read them.  Only documents that pass the base rule are used to estimate; of the others,
-    those with a pattern that none of them shows have a null ``p_good``.
+    verdict read them.  All documents are used to estimate, those that fail the base rule too: they
+    are where its rules are seen to vote bad.
     """
     voted = write_through(signals(docs, text_column).withColumns(
         {"votes": F.expr(votes_sql()), "base_failed": F.expr(BASE_FAILED)}), "quality-votes")
-    posteriors = pattern_posteriors(voted.where("NOT base_failed").select("votes"))
+    posteriors = pattern_posteriors(voted.select("votes")).drop("state")
     return voted.join(F.broadcast(posteriors), "votes", "left").withColumn(
-        "kept", F.coalesce(~F.col("base_failed") & (F.col("p_good") >= threshold), F.lit(False)))
+        "kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def quality_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
