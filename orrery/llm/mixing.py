@@ -4,7 +4,8 @@ A source's rate is the mean number of times one of its documents has to appear f
 hold its target share.  Each document draws its count by inverting the Poisson distribution at a
 hash of its id and the seed, is exploded by that count, and the copies are shuffled globally by a
 second hash.  Counts need no coordination between rows, so a hot source is never gathered.
-Built-in Spark functions only.
+A rate beyond ``PART_RATE`` is drawn in equal parts, each by a hash of its own, which add up to a Poisson
+number again; so no distribution is longer than one of that rate.  Built-in Spark functions only.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ from pyspark.sql import functions as F
 from ..session import write_through
 from .common import ROW, carried, carry
 
-BROADCAST_SOURCES = 10_000  # sources up to which their rates are broadcast
+PART_RATE = 100.0  # the largest rate that is drawn at once
+BROADCAST_SOURCES = 2_000  # sources up to which their distributions, of at most 261 numbers each, are broadcast: 4.2 MB
 SALTS = 64
 HEX_DIGITS = 13  # 52 bits of a hash make a uniform number in [0, 1)
 
 
-def uniform(*parts: Column) -> Column:
-    digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, HEX_DIGITS)
-    return F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(float(16**HEX_DIGITS))
+def drawn_count(seed: int) -> str:
+    """The draw of a row: over all parts of its source's rate, how many steps of the distribution
+    lie at or below a uniform number from the hash of id and seed, and from the second part on its number."""
+    u = f"CAST(conv(substring(md5(concat_ws(':', _doc, '{seed}', IF(j = 0, NULL, j))), 1, {HEX_DIGITS}), 16, 10) AS BIGINT) / {float(16**HEX_DIGITS)!r}D"
+    return f"aggregate(sequence(0L, _parts - 1), 0L, (t, j) -> t + aggregate(array({u}), 0L, (n, u) -> n + size(filter(_cdf, c -> c <= u))))"
 
 
-# P(count <= k) for k = 0, 1, ... until the tail is below the grid of the uniform numbers; terms by
-# their logarithms, so large rates don't underflow.
+# P(count <= k) of a part for k = 0, 1, ... until the tail is below the grid of the uniform numbers.
+PARTS = f"CAST(greatest(ceil(rate / {PART_RATE}D), 1) AS BIGINT)"
 CDF = """CASE WHEN rate > 0 THEN aggregate(
     sequence(1, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS INT)),
     named_struct('log', -rate, 'sum', exp(-rate), 'all', array(exp(-rate))),
@@ -70,9 +74,9 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 0, id_column: str =
     Extra columns are carried and never clash.  An empty table gives no rows.
     """
     doc = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    rows = carry(docs, _doc=doc, _source=F.col(source_column).cast("string"),
-                 _u=uniform(doc, F.lit(str(seed))))
-    cdfs = write_through(rates.select(F.col("source").alias("_rated"), F.expr(CDF).alias("_cdf")), "mix-rates")
+    rows = carry(docs, _doc=doc, _source=F.col(source_column).cast("string"))
+    parts = rates.withColumn("_parts", F.expr(PARTS)).withColumn("rate", F.col("rate") / F.col("_parts"))
+    cdfs = write_through(parts.select(F.col("source").alias("_rated"), "_parts", F.expr(CDF).alias("_cdf")), "mix-rates")
     if cdfs.count() <= BROADCAST_SOURCES:
         met = rows.join(F.broadcast(cdfs), F.col("_source").eqNullSafe(F.col("_rated")))
     else:  # every source in SALTS parts, so a hot one is not gathered in one task
@@ -80,8 +84,8 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 0, id_column: str =
         met = rows.withColumn("_part", F.expr(f"pmod(xxhash64(_doc), {SALTS})")).join(
             parts, F.col("_source").eqNullSafe(F.col("_rated")) & (F.col("_part") == F.col("_rated_part")))
     drawn = met.withColumn(
-        "_count", F.expr("size(filter(_cdf, c -> c <= _u))")).where("_count > 0")
-    copies = drawn.select(ROW, "_doc", F.explode(F.expr("sequence(0, _count - 1)")).alias("copy"))
+        "_count", F.expr(drawn_count(seed))).where("_count > 0")
+    copies = drawn.select(ROW, "_doc", F.explode(F.expr("sequence(0, CAST(_count AS INT) - 1)")).alias("copy"))
     keyed = copies.select(ROW, "copy", F.md5(F.concat_ws(":", F.col("_doc"), F.col("copy").cast("string"),
                                                        F.lit(f"order-{seed}"))).alias("mix_key"))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

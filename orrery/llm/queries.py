@@ -29,20 +29,25 @@ def op1(spark, sf_dir):
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
-@query("op9_mix_sources", """
+_UNIFORM = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':0' || CASE WHEN j = 0 THEN '' ELSE ':' || CAST(j AS VARCHAR) END), 1, 13)) AS BIGINT) / power(16, 13)"
+
+
+@query("op9_mix_sources", f"""
 WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS chars FROM documents GROUP BY source),
 rates AS (
-  SELECT source, CASE WHEN chars > 0 THEN sum(chars) OVER () / sum(CAST(chars > 0 AS INTEGER)) OVER () / chars ELSE 1 END AS rate FROM sizes
-), cdf AS (
-  SELECT source, CAST(k AS INTEGER) AS copy,
-         sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
-  FROM rates, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS t(k)
+  SELECT source, CASE WHEN chars > 0 THEN sum(chars) OVER () / sum(CAST(chars > 0 AS INTEGER)) OVER () / chars ELSE 1 END AS whole FROM sizes
+), parts AS (SELECT source, CAST(greatest(ceil(whole / {mixing.PART_RATE}), 1) AS BIGINT) AS parts, whole FROM rates),
+cdf AS (
+  SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
+  FROM (SELECT source, whole / parts AS rate FROM parts), unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS t(k)
 ), drawn AS (
-  SELECT *, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':0'), 1, 13)) AS BIGINT) / power(16, 13) AS u FROM documents
+  SELECT d.doc_id, d.source, {_UNIFORM} AS u FROM documents d JOIN parts p ON p.source IS NOT DISTINCT FROM d.source, unnest(range(0, p.parts)) AS t(j)
+), counted AS (
+  SELECT d.doc_id, count(*) AS n FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.upto <= d.u GROUP BY d.doc_id
 )
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy,
-       md5(CAST(d.doc_id AS VARCHAR) || ':' || CAST(c.copy AS VARCHAR) || ':order-0') AS mix_key
-FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.upto <= d.u
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(copy AS INTEGER) AS copy,
+       md5(CAST(d.doc_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR) || ':order-0') AS mix_key
+FROM documents d JOIN counted c ON c.doc_id = d.doc_id, unnest(range(0, c.n)) AS t(copy)
 """)
 def op9(spark, sf_dir):
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
