@@ -26,6 +26,7 @@ from .tokens import VOCABULARY, encoder
 END_ID = 2
 SHARD_TOKENS = 2_000_000
 BLOCK = 512  # bits between two stored counts
+STEP = 4096  # places that are led up at once
 
 SHARD = "shard long, n_tokens long, n_docs long, alphabet binary, zeros binary, planes array<binary>, counts array<binary>, doc_ids binary, null_ids binary, lengths binary"
 
@@ -108,24 +109,42 @@ class WaveletMatrix:
         a, b = self._span(token, start, end)
         return b - a
 
+    def _select(self, level: int, one: int, k: np.ndarray) -> np.ndarray:
+        """The places of the ``k``-th (from 0) set or unset bits of a plane: the block by a binary search in
+        the stored counts, the place by the bits of that block alone."""
+        counts = self.counts[level].astype(np.int64)
+        if not one:
+            counts = np.minimum(np.arange(len(counts)) * BLOCK, self.n) - counts
+        block = np.searchsorted(counts, k, side="right") - 1
+        plane = self.planes[level]
+        window = (block * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8)
+        bytes_ = np.where(window < len(plane), plane[np.minimum(window, len(plane) - 1)], 0).astype(np.uint8)
+        bits = np.unpackbits(bytes_, axis=1, bitorder="little")
+        upto = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.int16)
+        return block * BLOCK + (upto <= (k - counts[block])[:, None]).sum(axis=1)
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Places of the first plane from places below the last, of one token."""
+        code = int(np.searchsorted(self.alphabet, token))
+        for level in reversed(range(len(self.zeros))):
+            one = code >> (len(self.zeros) - 1 - level) & 1
+            at = self._select(level, one, at - (int(self.zeros[level]) if one else 0))
+        return at
+
     def occurrences(self, token: int) -> np.ndarray:
         """All places of ``token``, ascending: its span below the last plane, led back up by select."""
         if self.n == 0:
             return np.zeros(0, np.int64)
         a, b = self._span(token, 0, self.n)
-        at = np.arange(a, b)
-        code = int(np.searchsorted(self.alphabet, token))
-        for level in reversed(range(len(self.zeros))):
-            if not len(at):
-                break
-            one = code >> (len(self.zeros) - 1 - level) & 1
-            at = np.flatnonzero(self._bits(level) == one)[at - (int(self.zeros[level]) if one else 0)]
-        return at
+        parts = [self._up(token, np.arange(at, min(at + STEP, b))) for at in range(a, b, STEP)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     def select(self, token: int, k: int) -> int:
         """The place of the k-th occurrence (from 0); -1 where there are fewer."""
-        at = self.occurrences(token)
-        return int(at[k]) if 0 <= k < len(at) else -1
+        if self.n == 0:
+            return -1
+        a, b = self._span(token, 0, self.n)
+        return int(self._up(token, np.array([a + k]))[0]) if 0 <= k < b - a else -1
 
     def decode(self) -> np.ndarray:
         """All ids in order, each plane's parting undone from the last to the first."""
@@ -221,25 +240,77 @@ def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["doc_id", "at", "n_tokens", "ids_crc32", "shard"])
 
 
+def shard_offsets(spark, path: str) -> DataFrame:
+    """(shard, before): the ids of all shards before each.
+
+    Sums in two levels: over the shards of a writing task, and over the tasks, which are one row each."""
+    shards = spark.read.schema(SHARD).parquet(path).select("shard", "n_tokens", F.shiftright("shard", 24).alias("task"))
+    up_to = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inside = shards.select("shard", "task", F.coalesce(F.sum("n_tokens").over(up_to.partitionBy("task")), F.lit(0)).alias("inside"))
+    tasks = shards.groupBy("task").agg(F.sum("n_tokens").alias("n"))
+    tasks = tasks.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    return inside.join(tasks, "task").select("shard", (F.col("above") + F.col("inside")).alias("before"))
+
+
 def read_docs(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, from the shards alone.
 
-    ``start`` adds the sizes of all shards before (one small row per shard) to the place inside."""
-    shards = spark.read.schema(SHARD).parquet(path)
-    before = shards.select("shard", F.coalesce(
-        F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    docs = shards.mapInArrow(_read_docs, "doc_id long, at long, n_tokens long, ids_crc32 long, shard long")
-    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    ``start`` adds the sizes of all shards before to the place inside; the offsets are joined by shard,
+    broadcast only if their size at run time is small enough.  A folder without shards gives no rows."""
+    docs = spark.read.schema(SHARD).parquet(path).mapInArrow(_read_docs, "doc_id long, at long, n_tokens long, ids_crc32 long, shard long")
+    return docs.join(shard_offsets(spark, path), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _per_shard(spark, path: str, schema: str, rows_of):
+    """``rows_of(matrix, shard)`` over all shards, one matrix in memory at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                found = rows_of(matrix_of(row), row["shard"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
+
+    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, schema)
 
 
 def token_counts(spark, path: str, tokens: list[int]) -> DataFrame:
-    """Occurrences of each of ``tokens`` per shard (shard, token, n), by rank on the planes."""
+    """Occurrences of each of ``tokens`` per shard (shard, token, n), by rank on the planes.  Repeated
+    tokens are counted each; no shards, no rows."""
+    def rows_of(m, shard):
+        return np.full(len(tokens), shard), tokens, [m.rank(t, m.n) for t in tokens]
+
+    return _per_shard(spark, path, "shard long, token long, n long", rows_of)
+
+
+def token_places(spark, path: str, tokens: list[int]) -> DataFrame:
+    """(token, place): every occurrence of each of ``tokens`` in the whole sequence of ids, by select on the
+    planes; tokens that occur nowhere have no row."""
+    def rows_of(m, shard):
+        found = [m.occurrences(t) for t in tokens]
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return np.full(len(at), shard), np.repeat(np.array(tokens, np.int64), [len(x) for x in found]), at
+
+    found = _per_shard(spark, path, "shard long, token long, at long", rows_of)
+    return found.join(shard_offsets(spark, path), "shard").select("token", (F.col("before") + F.col("at")).alias("place"))
+
+
+def tokens_at(spark, path: str, places: list[int]) -> DataFrame:
+    """(place, token) for the ``places`` of the whole sequence of ids that exist, by access on the planes of
+    the shards that hold them.  Repeated places give a row each."""
+    wanted = spark.createDataFrame([(int(p),) for p in places], "place long")
+    shards = spark.read.schema(SHARD).parquet(path)
+    ends = shards.select("shard", "n_tokens").join(shard_offsets(spark, path), "shard")
+    # the places are the caller's list; a place meets the one shard around it
+    held = ends.join(F.broadcast(wanted), (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n_tokens")))
+    asked = held.groupBy("shard").agg(F.collect_list(F.struct("place", (F.col("place") - F.col("before")).alias("at"))).alias("asked"))
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                m = matrix_of(row)
-                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "token": t, "n": m.rank(t, m.n)} for t in tokens],
-                                                 schema=pa.schema([("shard", pa.int64()), ("token", pa.int64()), ("n", pa.int64())]))
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                ids = matrix_of(row).access([a["at"] for a in row["asked"]])
+                yield pa.RecordBatch.from_arrays([pa.array([a["place"] for a in row["asked"]], pa.int64()), pa.array(ids.astype(np.int64))], names=["place", "token"])
 
-    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, "shard long, token long, n long")
+    return shards.join(F.broadcast(asked), "shard").mapInArrow(run, "place long, token long")  # no more than the places asked for
