@@ -27,7 +27,7 @@ SLOT_PIECES = 16384  # pieces packed together in one task
 ROUNDS = 3  # packings at most, the first included
 
 PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECE + ", slot long, bin long, offset long, loose boolean"
+PLACED = PIECE + ", slot long, bin long, offset long, loose boolean, slot_sequences long, slot_bound long"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -113,9 +113,9 @@ def _pack_slot(capacity: int):
         lengths = pdf["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         n = int(bins.max()) + 1
-        certified = n == lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
         emptiest = np.argmin(np.bincount(bins, weights=lengths))
-        return pdf.assign(bin=bins, offset=offsets, loose=~certified | (bins == emptiest))
+        return pdf.assign(bin=bins, offset=offsets, loose=(n != bound) | (bins == emptiest), slot_sequences=n, slot_bound=bound)
 
     return run
 
@@ -133,7 +133,9 @@ def _bins(placed: DataFrame) -> int:
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY,
          capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece, and slot_sequences,
+    slot_bound, certified: how many sequences the piece's slot was packed into, how many any packing
+    needs, and whether the two agree.
 
     Pieces of ``capacity`` are sequences of their own.  A null or empty text is one piece that holds
     the end id; null ids are kept; repeated rows are packed each; extra columns are not read; an
@@ -141,7 +143,8 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     cut = pieces(docs, id_column, text_column, vocabulary, capacity, end_id)
     full = cut.where(F.col("length") == capacity).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        F.lit(1).cast("long").alias("slot_sequences"), F.lit(1).cast("long").alias("slot_bound"))
     pool = cut.where(F.col("length") < capacity)
     n, settled = pool.count(), []
     placed = _packed(pool, n, 0, capacity) if n else None
@@ -161,5 +164,5 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     for salt, done in settled:
         out = out.unionByName(done.select(
             "doc_id", "piece", "start", "length", "ids_crc32",
-            F.expr(f"shiftleft(CAST({salt} AS BIGINT), 56) + shiftleft(slot, 24) + bin").alias("sequence_id"), "offset"))
-    return out
+            F.expr(f"shiftleft(CAST({salt} AS BIGINT), 56) + shiftleft(slot, 24) + bin").alias("sequence_id"), "offset", "slot_sequences", "slot_bound"))
+    return out.withColumn("certified", F.col("slot_sequences") == F.col("slot_bound"))
