@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
-CANDIDATE_BLOCK, QUERY_BLOCK = 1024, 1024  # rows of a block
+# Rows of a block.  A candidate is shuffled once for every query block, so that one is large, 8 MB of 64
+# components; its queries are answered in steps.
+CANDIDATE_BLOCK, QUERY_BLOCK, QUERY_STEP = 1024, 16_384, 1024
 DEPTHS = (0.25, 0.5, 1.0)  # shares of the lists that are read by the end of each round
 FEW = 4  # reading ends when at most FEW * k candidates may still be among the best
 
@@ -84,14 +86,15 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
     divisible by ``every`` with all rows of other ids; fewer where there are fewer.
 
     Vectors meet only vectors of their own length.  Repeated rows of an id are candidates each and
-    one query.  Extra columns are not read.  An empty table gives no rows.  Sums beyond 2**63 are not
+    one query, by the least of their vectors.  Extra columns are not read.  An empty table gives no rows.  Sums beyond 2**63 are not
     supported.
     """
     rows = quantised(table, id_column, vector_column, scale).withColumn("d", F.size("v"))
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
     n, m = (t.agg(F.count("*")).head()[0] for t in (rows, queries))
     blocks, query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    salted = rows.withColumn("b", F.expr(f"pmod(xxhash64(id, v, 0), {blocks})"))
+    # by the row's place too, so that copies of one row do not share a block
+    salted = rows.withColumn("b", F.expr(f"pmod(xxhash64(id, monotonically_increasing_id()), {blocks})"))
     left = salted.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = queries.withColumn("q", F.expr(f"CAST(pmod(xxhash64(id), {query_blocks}) AS INT)")).withColumn(
         "b", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
@@ -104,7 +107,8 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec
     def run(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         if not candidates.num_rows or not asked.num_rows:
             return schema.empty_table()
-        found = top_of_block(candidates["id"].to_numpy(), vectors(candidates), asked["id"].to_numpy(), vectors(asked), k)
+        ids, x, query_ids, q = candidates["id"].to_numpy(), vectors(candidates), asked["id"].to_numpy(), vectors(asked)
+        found = [f for at in range(0, len(q), QUERY_STEP) for f in top_of_block(ids, x, query_ids[at: at + QUERY_STEP], q[at: at + QUERY_STEP], k)]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], schema=schema)
 
     found = left.groupBy("d", "b", "q").cogroup(right.groupBy("d", "b", "q")).applyInArrow(run, "query_id long, vec_id long, score long")
