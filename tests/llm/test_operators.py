@@ -70,31 +70,51 @@ def test_quality_counts_and_verdicts(docs, rows, empty):
     assert quality.quality_report(empty).count() == 0 and quality.keep_good(empty).columns == empty.columns
 
 
-def _em(counts, n_rules):
-    share, a, b = quality.START[0], [quality.START[1]] * n_rules, [quality.START[2]] * n_rules
-    clip = lambda x, bound: min(max(x, bound[0]), bound[1])
-
-    def post(v):
-        p = np.log(share / (1 - share)) + sum(np.log(a[j] / (1 - b[j])) if x == 1 else np.log((1 - a[j]) / b[j]) if x == -1 else 0 for j, x in enumerate(v))
-        return 1 / (1 + np.exp(-p))
-
-    for _ in range(quality.ITERATIONS):
-        w = [(v, n * post(v), n) for v, n in sorted(counts.items())]
-        share_ = clip((quality.PRIOR_SHARE[0] + sum(g for _, g, _ in w)) / (quality.PRIOR_SHARE[1] + sum(n for *_, n in w)), quality.BOUND_SHARE)
-        a_ = [clip((quality.PRIOR_GOOD[0] + sum(g for v, g, _ in w if v[j] == 1)) / (quality.PRIOR_GOOD[1] + sum(g for v, g, _ in w if v[j])), quality.BOUND_GOOD) for j in range(n_rules)]
-        b_ = [clip((quality.PRIOR_BAD[0] + sum(n - g for v, g, n in w if v[j] == -1)) / (quality.PRIOR_BAD[1] + sum(n - g for v, g, n in w if v[j])), quality.BOUND_BAD) for j in range(n_rules)]
-        share, a, b = share_, a_, b_
-    return {v: post(v) for v in counts}
+def _em(counts, share, bad, weight, rounds):
+    """Share of each kind, probability of bad votes, posterior of good per pattern; in matrices."""
+    patterns = np.array(sorted(counts))
+    n = np.array([counts[tuple(p)] for p in patterns.tolist()], float)
+    share0, bad0, prior = share, bad, weight * n.sum() * share
+    negative, given = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    for _ in range(rounds):
+        log = np.log(share) + negative @ np.log(bad).T + (given - negative) @ np.log(1 - bad).T
+        w = np.exp(log - log.max(axis=1, keepdims=True))
+        w *= (n / w.sum(axis=1))[:, None]
+        share = (prior + w.sum(axis=0)) / (1 + weight) / n.sum()
+        bad = (prior[:, None] * bad0 + w.T @ negative) / (prior[:, None] + w.T @ given)
+    log = np.log(share) + negative @ np.log(bad).T + (given - negative) @ np.log(1 - bad).T
+    like = np.exp(log)
+    return share, bad, dict(zip(map(tuple, patterns.tolist()), like[:, 0] / like.sum(axis=1)))
 
 
 def test_quality_posteriors_equal_a_plain_em_and_agree_with_labels(spark):
     sf = "/root/testdata/sf0.1"
-    judged = quality.judged(spark.read.parquet(f"{sf}/documents.parquet")).selectExpr("_row.doc_id", "votes", "base_failed", "kept", "p_good").toPandas()
-    used = judged[~judged.base_failed]
-    want = _em(Counter(tuple(v) for v in used.votes), len(quality.RULES))
-    assert all(abs(want[tuple(v)] - p) < 1e-9 for v, p in zip(used.votes, used.p_good))
-    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().dropna().merge(used, on="doc_id")
+    frame = quality.judged(spark.read.parquet(f"{sf}/documents.parquet")).selectExpr("_row.doc_id", "votes", "base_failed", "kept", "p_good").cache()
+    judged = frame.toPandas()
+    n = len(quality.RULES)
+    share, bad = np.array([0.88] + [0.02] * n), np.full((n + 1, n), 0.1)
+    bad[0], bad[np.arange(1, n + 1), np.arange(n)] = 0.005, 0.8
+    share, bad, want = _em(Counter(tuple(v) for v in judged.votes), share, bad, 0.1, 40)
+    assert all(abs(want[tuple(v)] - p) < 1e-9 for v, p in zip(judged.votes, judged.p_good))
+    state = quality.pattern_posteriors(frame.select("votes")).head().state
+    assert np.allclose(state.share, share) and np.allclose(state.bad, bad)
+    # the estimates moved off their start, and none stands at 0 or 1
+    assert bad.min() > 0 and bad.max() < 1 and (abs(bad[0] - 0.005) > 1e-4).all() and abs(share[1:] - 0.02).min() > 1e-3
+    # junk that two rules see is one kind to both: lines and repeats
+    kind = bad[1:, 4].argmax() + 1
+    assert bad[kind, 3] > 0.5 and bad[kind, 4] > 0.9
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().dropna().merge(judged[~judged.base_failed], on="doc_id")
     assert labels[labels.quality == 1].kept.mean() > 0.99 and labels[labels.quality == 0].kept.mean() < 0.1
+    assert judged.p_good.notna().all() and judged[judged.votes.map(min) >= 0].p_good.min() > 0.9
+
+
+def test_estimates_are_the_same_at_every_size(spark):
+    counts = {(1, 1): 880, (1, -1): 60, (-1, -1): 40, (0, 0): 15, (-1, 1): 5}
+    votes = [v for v, n in counts.items() for _ in range(n)]
+    one = spark.createDataFrame([(list(v),) for v in votes], "votes array<int>")
+    small, large = ({tuple(r.votes): r.p_good for r in quality.pattern_posteriors(d, 2).collect()} for d in (one, one.crossJoin(spark.range(30)).select("votes")))
+    assert small.keys() == counts.keys() and all(abs(small[v] - large[v]) < 1e-9 for v in counts)
+    assert quality.pattern_posteriors(one.limit(0), 2).count() == 0
 
 
 def test_base_secrets_by_plain_patterns(docs, rows, empty):
@@ -159,6 +179,35 @@ def test_token_files_round_trip(spark, docs, rows, empty):
     assert wavelet.read_docs(spark, wavelet.write_tokens(empty)).count() == 0
 
 
+def test_token_files_answer_counts_places_and_access(spark, docs, rows, empty):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are written by one task
+    try:
+        path = wavelet.write_tokens(docs, shard_tokens=3000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    order = sorted(wavelet.read_docs(spark, path).collect(), key=lambda r: r.start)
+    shards = spark.read.schema(wavelet.SHARD).parquet(path).select("shard", "n_tokens").orderBy("shard").collect()
+    assert len({r.shard >> 24 for r in shards}) > 1 and len(shards) > len({r.shard >> 24 for r in shards})  # several tasks, several shards of one
+    offsets = {r.shard: r.before for r in wavelet.shard_offsets(spark, path).collect()}
+    assert [offsets[r.shard] for r in shards] == [sum(x.n_tokens for x in shards[:k]) for k in range(len(shards))]
+    own, by_crc = tokens.Encoder(), {}
+    for r, x in zip(rows, own.encode([r[1] for r in rows])):
+        by_crc[r[0], zlib.crc32(x + b"\x02\0\0\0")] = np.append(np.frombuffer(x, "<u4"), 2)
+    ids = np.concatenate([by_crc[r.doc_id, r.ids_crc32] for r in order])
+    asked = [2, int(ids[0]), int(ids[len(ids) // 2]), 50_000]
+    counts = Counter()
+    for r in wavelet.token_counts(spark, path, asked).collect():
+        counts[r.token] += r.n
+    assert counts == Counter({t: int((ids == t).sum()) for t in asked})
+    found = sorted(map(tuple, wavelet.token_places(spark, path, asked).collect()))
+    assert found == sorted((t, int(p)) for t in set(asked) for p in np.flatnonzero(ids == t))
+    places = [0, 1, 2999, 3000, 3001, len(ids) - 1, len(ids) // 3, len(ids), -1, 0]
+    got = sorted(map(tuple, wavelet.tokens_at(spark, path, places).collect()))
+    assert got == sorted((p, int(ids[p])) for p in places if 0 <= p < len(ids))
+    nothing = wavelet.write_tokens(empty)
+    assert not wavelet.token_counts(spark, nothing, [2]).count() and not wavelet.token_places(spark, nothing, [2]).count() and not wavelet.tokens_at(spark, nothing, [0]).count()
+
+
 def test_packing_is_whole_gapless_and_near_the_bound(docs, rows, empty):
     got = packing.pack(docs, capacity=256).toPandas()
     own, want = tokens.Encoder(), Counter()
@@ -171,6 +220,9 @@ def test_packing_is_whole_gapless_and_near_the_bound(docs, rows, empty):
     for _, one in got.sort_values("offset").groupby("sequence_id"):
         assert one.offset.tolist() == [0, *one.length.cumsum().tolist()[:-1]] and one.length.sum() <= 256
     assert got.sequence_id.nunique() <= 1.02 * packing.lower_bound(got.length.to_numpy(), 256) + 1
+    assert (got.slot_sequences >= got.slot_bound).all() and (got.certified == (got.slot_sequences == got.slot_bound)).all()
+    full = got[got.length == 256]
+    assert len(full) and full.certified.all() and (got[got.length < 256].slot_bound > 1).all()
     assert packing.pack(empty).count() == 0
 
 
@@ -252,6 +304,16 @@ def test_topk_equals_brute_force(spark):
     assert topk.nearest(table.limit(0)).count() == 0
 
 
+def test_copies_of_one_row_spread_over_blocks_and_one_vector_asks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
+    rows = [(7, [1.0, 0.5])] * 1500 + [(50, [0.25, 1.0]), (50, [0.125, 2.0]), (8, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(map(tuple, topk.nearest(table, k=3).collect()))
+    assert got == [(50, 1, 8, 512 * 256), *((50, k, 7, 32 * 256 + 512 * 128) for k in (2, 3))]
+    salted = topk.quantised(table).selectExpr("pmod(xxhash64(id, monotonically_increasing_id()), 24) AS b").groupBy("b").count().collect()
+    assert max(r["count"] for r in salted) < 150
+
+
 def _brute_fingerprint(text):
     import xxhash
 
@@ -331,6 +393,28 @@ def test_mixing_counts_are_poisson_draws(docs, rows, empty, monkeypatch):
     assert {r.source for r in mixing.mix(docs, {"src1": 1.0}).collect()} <= {"src1"}
 
 
+def test_large_rates_are_drawn_in_parts(spark):
+    docs = spark.createDataFrame([(k, f"{k} tiny", "t") for k in range(3)] + [(10 + k, "x" * 6, "big") for k in range(300)], "doc_id long, text string, source string")
+    rates = spark.createDataFrame([("t", 5000.0), ("big", 250.0)], "source string, rate double")
+    got = Counter(r.doc_id for r in mixing.replicate(docs, rates).selectExpr("_row.doc_id").collect())
+    for doc, parts, rate in [(k, 50, 100.0) for k in range(3)] + [(10 + k, 3, 250 / 3) for k in range(300)]:
+        want = 0
+        for j in range(parts):
+            u = int(hashlib.md5((f"{doc}:0" if j == 0 else f"{doc}:0:{j}").encode()).hexdigest()[:13], 16) / 16**13
+            k, term = 0, np.exp(-rate)
+            total = term
+            while total <= u:
+                k += 1
+                term *= rate / k
+                total += term
+            want += k
+        assert got[doc] == want
+    assert abs(sum(got[k] for k in range(3)) / 15000 - 1) < 0.03
+    # a million copies of one row
+    one = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
+    assert abs(mixing.replicate(one, spark.createDataFrame([("s", 1e6)], "source string, rate double")).count() / 1e6 - 1) < 0.005
+
+
 def test_mixing_reaches_target_weights(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source", "'0123456789' AS text")
     got = {r["source"]: r["count"] for r in mixing.mix(docs, {"a": 3, "b": 1}).groupBy("source").count().collect()}
