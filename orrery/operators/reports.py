@@ -38,16 +38,12 @@ def report_metrics(summary: DataFrame, post: DataFrame, years=(2030, 2035, 2040,
     5-year strides, so a base year off the stride grid still reports them)."""
     from .arrival import with_cumulative
 
-    prices = summary.select(
-        "symbol", "scenario_id",
-        F.expr(
-            "stack(4, 'current_price', current_price, '1_month_price', `1_month_price`, "
-            "'3_months_price', `3_months_price`, '1_year_price', `1_year_price`) AS (metric, value)"
-        ),
-    )
-    y = post.select("scenario_id", "posterior_mean", "posterior_std", F.explode(F.array(*[F.lit(v) for v in years])).alias("year"))
-    probs = with_cumulative(y).select(
-        "scenario_id", F.concat(F.lit("agi_prob_"), F.col("year").cast("string")).alias("metric"),
-        F.col("cumulative_probability").alias("value"),
-    )
-    return prices.unionByName(summary.select("symbol", "scenario_id").join(probs, "scenario_id"))
+    none = F.lit(None)
+    cards = [F.struct(F.lit(name).alias("metric"), F.col(name).cast("double").alias("price"), none.cast("int").alias("year"))
+             for name in ("current_price", "1_month_price", "3_months_price", "1_year_price")]
+    cards += [F.struct(F.lit(f"agi_prob_{v}").alias("metric"), none.cast("double").alias("price"), F.lit(v).alias("year")) for v in years]
+    # one row per card from one read of the summary; a scenario without a posterior has its prices only
+    known = summary.join(post.select("scenario_id", "posterior_mean", "posterior_std"), "scenario_id", "left")
+    rows = with_cumulative(known.select("symbol", "scenario_id", "posterior_mean", "posterior_std", F.inline(F.array(*cards))))
+    return rows.where("year IS NULL OR posterior_mean IS NOT NULL").select(
+        "symbol", "scenario_id", "metric", F.when(F.col("year").isNull(), F.col("price")).otherwise(F.col("cumulative_probability")).alias("value"))

@@ -66,3 +66,12 @@ def test_summary_skips_horizon_equal_to_length(spark):
     assert s["1_year_price"] is None and s["1_year_return_pct"] is None
     m = G.milestones(G.forecast_path(start, impact, 365), 365).collect()
     assert sorted(r.step for r in m) == [90, 180]
+
+
+def test_forecast_outputs_read_their_inputs_once(spark):
+    """Orders three times (bars, their counts, the plan of scenarios), line items once beside the statistics."""
+    import __spark_entry__ as entry
+
+    for name in ("report_metrics", "horizon_summary", "forecast_path"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("orders.parquet]") <= 3 and plan.count("lineitem.parquet]") == 1, (name, plan)
