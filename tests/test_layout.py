@@ -157,6 +157,35 @@ def test_late_order_files_reach_the_ingested_bars(spark, tmp_path):
     assert {tuple(r) for r in read_ingested(spark, store).collect()} == {tuple(r) for r in _bars(spark, SF001).collect()}
 
 
+def test_compacted_store_reads_the_same_and_keeps_taking_files(spark, tmp_path):
+    from pathlib import Path
+
+    from orrery.streaming import bars as SB
+
+    orders = spark.read.parquet(f"{SF001}/orders.parquet")
+    source, store, checkpoint = (str(tmp_path / x) for x in ("in", "store", "checkpoint"))
+    assert SB.read_ingested(spark, store).count() == 0 and SB.compact_ingested(spark, store) == 0  # nothing written yet
+    names = lambda: sorted(p.name for p in Path(store).iterdir() if not p.name.startswith("."))
+    rows = lambda d: {tuple(r) for r in d.collect()}
+    for part in range(5):
+        orders.where(f"o_orderkey % 5 = {part}").coalesce(1).write.mode("append").parquet(source)
+        SB.start_bar_ingest(spark, source, orders.schema, store, checkpoint).awaitTermination()
+        want = rows(SB.merged_bars(SB.partial_bars(orders.where(f"o_orderkey % 5 <= {part}"))))
+        assert rows(SB.read_ingested(spark, store)) == want
+        if part == 2:
+            assert SB.compact_ingested(spark, store) == 2 and len(names()) == 2
+            assert rows(SB.read_ingested(spark, store)) == want and SB.compact_ingested(spark, store) == 0
+    stream = names()[0].split("-")[0]
+    assert names() == [f"{stream}-0..1", f"{stream}-2", f"{stream}-3", f"{stream}-4"]
+    # a compaction that ended before it removed what it had merged, and one that ended before it was in its place
+    merged = SB.merged_partials(SB._read(spark, store, names()[:2]))
+    merged.write.parquet(f"{store}/{stream}-0..2")
+    merged.write.parquet(f"{store}/_compact-x")
+    assert rows(SB.read_ingested(spark, store)) == want
+    assert SB.compact_ingested(spark, store) == 4 and set(names()) == {f"{stream}-0..3", f"{stream}-4", "_compact-x"}
+    assert rows(SB.read_ingested(spark, store)) == want
+
+
 def test_bars_aggregate_raw_rows_by_hash(spark):
     from orrery.sources.bars import bars_from_events, bars_from_orders
 
