@@ -251,12 +251,30 @@ e(symbol, rn, y12, g12, y26, g26) AS (
 SELECT symbol, bar_date, x AS quote, round(y12, 3) AS ema12, round(y26, 3) AS ema26 FROM n JOIN e USING (symbol, rn)""",
 )
 def q_ewma_gaps(spark, sf):
-    """W7 with missing quotes; each span lays the series out for its own halo."""
+    """W7 with missing quotes, both spans on one layout."""
     bars = orders_bars(spark, sf).select("symbol", "bar_date", F.expr(f"CASE WHEN NOT ({NO_QUOTE}) THEN close END").alias("quote"))
-    out = ewma_over_gaps(ewma_over_gaps(bars, "quote", "ema12", 12, S), "quote", "ema26", 26, S)
+    out = ewma_over_gaps(bars, "quote", {"ema12": 12, "ema26": 26}, S)
     return out.select("symbol", "bar_date", "quote", F.round("ema12", 3).alias("ema12"), F.round("ema26", 3).alias("ema26"))
 
 
+TICKS = Series("symbol", "ts")
+
+
+@register(
+    "ticks_rolling",
+    """SELECT event_type AS symbol, ts, event_id, row_number() OVER w - 1 AS rn, lag(value, 5) OVER w AS value_lag_5,
+              CASE WHEN count(*) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20
+                   THEN round(avg(value) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) END AS mean20
+       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)""",
+)
+def q_ticks_rolling(spark, sf):
+    """W2, W5, W9 on raw ticks: all events lie in one month, so every chunk is dense and is split."""
+    ticks = table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
+    out = over_series(ticks, lambda d, s: d.withColumns({"value_lag_5": W.lag("value", s, 5), "mean20": W.rolling_mean("value", s, 20)}),
+                      TICKS, back=20, ahead=0, block_rows=512, max_chunk_rows=512, keep_ordinal=True)
+    return out.select("symbol", "ts", "event_id", F.col("rn").cast("bigint").alias("rn"), "value_lag_5", F.round("mean20", 6).alias("mean20"))
+
+
 @register(
     "ordinal",
     f"SELECT symbol, bar_date, row_number() OVER w - 1 AS rn FROM ({BARS_SQL}) {W_SQL}",

@@ -25,6 +25,7 @@ nulls and fails on one; ``ewma_over_gaps`` takes series with missing values.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,9 +107,10 @@ def slowest_decay(alpha: float) -> float:
     return max(rates)
 
 
-def ewma_over_gaps(df: DataFrame, x: str, out: str, span: float, series: Series = Series(), *, block_rows: int = 1 << 16,
+def ewma_over_gaps(df: DataFrame, x: str, spans: Mapping[str, float], series: Series = Series(), *, block_rows: int = 1 << 16,
                    chunk_unit: str = "month", max_chunk_rows: int | None = None) -> DataFrame:
-    """W7 over series with nulls in ``x``: ``adjust=False``, weights counted in rows.
+    """W7 over series with nulls in ``x``: ``adjust=False``, weights counted in rows; one column for each
+    name of ``spans``, all from one layout.
 
     With ``g`` rows since the last value, a value enters as ``(d^g * y + alpha * x) / (d^g + alpha)``;
     a row without a value repeats the mean so far, and rows before the first value have none.
@@ -119,34 +121,36 @@ def ewma_over_gaps(df: DataFrame, x: str, out: str, span: float, series: Series
     which is its limit; rows without a value at a block's start repeat the last block's mean, found on
     a table of one row per block.
     """
-    a = 2.0 / (span + 1.0)
-    d = 1.0 - a
-    rate = slowest_decay(a)
-    back = math.ceil(16 * math.log(10) / -math.log(rate))
-    m = math.ceil(30 * math.log(10) / -math.log(rate) / SUB_ROWS) + 1
+    rates = {out: slowest_decay(2.0 / (span + 1.0)) for out, span in spans.items()}
+    back = max(math.ceil(16 * math.log(10) / -math.log(rate)) for rate in rates.values())
+    laid = layout(df, series, back=back, ahead=0, block_rows=block_rows, chunk_unit=chunk_unit, max_chunk_rows=max_chunk_rows)
     key, blk, sub, pos = (f"`{c}`" for c in (series.key, BLOCK, SUB, POS))
-    A, D, last = _dbl(a), _dbl(d), SUB_ROWS - 1
     in_block, in_sub = f"PARTITION BY {key}, {blk} ORDER BY {sub}, {pos}", f"PARTITION BY {key}, {blk}, {sub} ORDER BY {pos}"
-    laid = layout(df, series, back=back, ahead=0, block_rows=block_rows, chunk_unit=chunk_unit, max_chunk_rows=max_chunk_rows)
+    so_far, last = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", SUB_ROWS - 1
     laid = laid.withColumn("__gap", F.expr(
         f"{pos} - max(CASE WHEN `{x}` IS NOT NULL THEN {pos} END) OVER ({in_block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    laid = laid.withColumn("__w", F.expr(f"pow({D}, __gap)"))
-    laid = laid.withColumn("__a", F.expr(f"CASE WHEN `{x}` IS NULL THEN 1D WHEN __gap IS NULL THEN 0D ELSE __w / (__w + {A}) END"))
-    laid = laid.withColumn("__b", F.expr(f"CASE WHEN `{x}` IS NULL THEN 0D ELSE (1 - __a) * `{x}` END"))
-    laid = laid.withColumn("__step", F.expr(
-        f"aggregate(collect_list(named_struct('a', __a, 'b', __b)) OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
-        "named_struct('a', 1D, 'b', 0D), (s, e) -> named_struct('a', s.a * e.a, 'b', s.b * e.a + e.b))"))
-    carries = (f"array_sort(collect_list(CASE WHEN {pos} % {SUB_ROWS} = {last} THEN named_struct('k', {sub}, 'a', __step.a, 'b', __step.b) END) "
-               f"OVER (PARTITION BY {key}, {blk} ORDER BY {sub} RANGE BETWEEN {m} PRECEDING AND 1 PRECEDING))")
-    laid = laid.withColumn("__c", F.expr(f"CASE WHEN {pos} % {SUB_ROWS} = 0 THEN aggregate({carries}, 0D, (y, e) -> e.a * y + e.b) END"))
-    laid = laid.withColumn("__c", F.expr(f"max(__c) OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"))
-    laid = laid.withColumn("__y", F.expr(f"CASE WHEN `{x}` IS NOT NULL AND {OWN} THEN __step.a * __c + __step.b END"))
-    # a row without a value repeats the mean of the block's last value, or else that of the last block which has one:
-    # unlike a weight, a repeated mean does not fade over rows
-    laid = laid.withColumn(out, F.expr(f"last(__y, true) OVER ({in_block} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    laid = laid.drop("__gap", "__w", "__a", "__b", "__step", "__c", "__y")
-    blocks = laid.where(F.col(OWN)).groupBy(series.key, BLOCK).agg(F.max_by(F.col(out), F.when(F.col(out).isNotNull(), F.col(POS))).alias("_end"))
+    for out, span in spans.items():
+        a = 2.0 / (span + 1.0)
+        m = math.ceil(30 * math.log(10) / -math.log(rates[out]) / SUB_ROWS) + 1
+        laid = laid.withColumn("__w", F.expr(f"pow({_dbl(1.0 - a)}, __gap)"))
+        laid = laid.withColumn("__a", F.expr(f"CASE WHEN `{x}` IS NULL THEN 1D WHEN __gap IS NULL THEN 0D ELSE __w / (__w + {_dbl(a)}) END"))
+        laid = laid.withColumn("__b", F.expr(f"CASE WHEN `{x}` IS NULL THEN 0D ELSE (1 - __a) * `{x}` END"))
+        laid = laid.withColumn("__step", F.expr(
+            f"aggregate(collect_list(named_struct('a', __a, 'b', __b)) OVER ({in_sub} {so_far}), "
+            "named_struct('a', 1D, 'b', 0D), (s, e) -> named_struct('a', s.a * e.a, 'b', s.b * e.a + e.b))"))
+        carries = (f"array_sort(collect_list(CASE WHEN {pos} % {SUB_ROWS} = {last} THEN named_struct('k', {sub}, 'a', __step.a, 'b', __step.b) END) "
+                   f"OVER (PARTITION BY {key}, {blk} ORDER BY {sub} RANGE BETWEEN {m} PRECEDING AND 1 PRECEDING))")
+        laid = laid.withColumn("__c", F.expr(f"CASE WHEN {pos} % {SUB_ROWS} = 0 THEN aggregate({carries}, 0D, (y, e) -> e.a * y + e.b) END"))
+        laid = laid.withColumn("__c", F.expr(f"max(__c) OVER ({in_sub} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"))
+        laid = laid.withColumn("__y", F.expr(f"CASE WHEN `{x}` IS NOT NULL AND {OWN} THEN __step.a * __c + __step.b END"))
+        # a row without a value repeats the mean of the block's last value, or else that of the last block which
+        # has one: unlike a weight, a repeated mean does not fade over rows
+        laid = laid.withColumn(out, F.expr(f"last(__y, true) OVER ({in_block} {so_far})")).drop("__w", "__a", "__b", "__step", "__c", "__y")
+    ends = F.struct(*[F.col(out).alias(out) for out in spans])
+    blocks = laid.drop("__gap").where(F.col(OWN)).groupBy(series.key, BLOCK).agg(
+        F.max_by(ends, F.when(F.coalesce(*spans).isNotNull(), F.col(POS))).alias("_end"))
     held = F.last("_end", True).over(Window.partitionBy(series.key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select(F.col(series.key).alias("_ekey"), F.col(BLOCK).alias("_eblk"), held.alias("_held"))
-    filled = laid.join(blocks, F.col(series.key).eqNullSafe(F.col("_ekey")) & (F.col(BLOCK) == F.col("_eblk")), "left")
-    return unlayout(filled.withColumn(out, F.coalesce(out, "_held")).drop("_ekey", "_eblk", "_held"), keep_ordinal=False)
+    filled = laid.drop("__gap").join(blocks, F.col(series.key).eqNullSafe(F.col("_ekey")) & (F.col(BLOCK) == F.col("_eblk")), "left")
+    filled = filled.withColumns({out: F.coalesce(out, F.col("_held").getField(out)) for out in spans})
+    return unlayout(filled.drop("_ekey", "_eblk", "_held"), keep_ordinal=False)

@@ -33,7 +33,8 @@ def test_mean_over_gaps_equals_pandas(spark):
         want[symbol] = values
     df = spark.createDataFrame(rows, "symbol string, bar_date date, x double")
     for span, block in ((12, 500), (26, 700), (3, 1 << 16)):
-        got = ewma_over_gaps(df, "x", "y", span, block_rows=block).toPandas().sort_values(["symbol", "bar_date"])
+        spans = {"y": span} if span != 12 else {"y": 12, "other": 5}
+        got = ewma_over_gaps(df, "x", spans, block_rows=block).toPandas().sort_values(["symbol", "bar_date"])
         for symbol, values in want.items():
             y = got[got.symbol == symbol]["y"].to_numpy(dtype=float)
             expected = _pandas_ewm([np.nan if v is None else v for v in values], span)

@@ -16,7 +16,7 @@ FAST = [
     "nearest_threshold_year", "forecast_path", "horizon_summary", "year_join_with_fallback", "milestones",
     "features_pipeline", "chronological_split_ceil", "cache_fresh_filter", "bars_store_roundtrip",
     "topic_prompts", "topic_batch_enrich", "landscape_defaults", "report_metrics", "r2_score", "bars_stream_append",
-    "cache_cover", "cache_gaps", "cache_fallback", "ewma_gaps", "integrated_distribution", "integrated_quantiles",
+    "cache_cover", "cache_gaps", "cache_fallback", "ewma_gaps", "ticks_rolling", "integrated_distribution", "integrated_quantiles",
     "integrated_probabilities", "parameter_sweep", "monte_carlo_quantiles", "expanding_folds", "resumable_enrich", "require_nonempty",
     "bars_csv_roundtrip", "bars_default_range", "feature_vector", "summary_json_sink", "analysis_json_sink", "landscape_with_client",
 ]
