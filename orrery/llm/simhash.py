@@ -177,9 +177,10 @@ def _block_links(threshold: int):
 def links(fps: DataFrame, threshold: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``fps`` (column fp) whose components are
     those of all links at ``threshold`` or fewer bits."""
-    # a fingerprint becomes some 35 entries: dealt to as many tasks as a shuffle has, which adaptive execution would merge for its few bytes
+    # A fingerprint becomes some 35 entries.  They are made in as many tasks as a shuffle has: adaptive execution
+    # would merge the few bytes of the fingerprints, and drop a repartition by the hash they already lie by.
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = fps.repartition(tasks, "fp").select("fp", Ring(threshold).entries("fp"))
+    entries = fps.repartition(tasks, F.xxhash64("fp")).select("fp", Ring(threshold).entries("fp"))
     sizes = entries.groupBy("ring", "bucket").agg(F.count("*").alias("n"), F.max("exact").alias("any")).where("n > 1 AND any")
     sizes = write_through(sizes, "buckets")  # a join of two plain exchanges, which can split a large bucket
     shared = entries.join(sizes.select("ring", "bucket", "n"), ["ring", "bucket"]).withColumn("parts", F.ceil(F.col("n") / BLOCK_ENTRIES))
