@@ -54,9 +54,10 @@ class WaveletMatrix:
             packed = np.packbits(ones, bitorder="little")
             planes.append(packed)
             counts.append(cls._count(packed))
-            upper = order[ones]
-            order = np.concatenate((order[~ones], upper))
-            zeros.append(len(ids) - len(upper))
+            # by places: faster than by a mask where bits change often
+            set_, unset = np.flatnonzero(ones), np.flatnonzero(~ones)
+            order = np.concatenate((order[unset], order[set_]))
+            zeros.append(len(unset))
         return cls(len(ids), seen.astype("<u4"), np.array(zeros, "<i8"), planes, counts)
 
     @staticmethod
@@ -154,8 +155,8 @@ class WaveletMatrix:
             ones, zeros = self._bits(level), int(self.zeros[level])
             codes[zeros:] |= kind(1 << k)
             above = np.empty_like(codes)
-            above[~ones] = codes[:zeros]
-            above[ones] = codes[zeros:]
+            above[np.flatnonzero(~ones)] = codes[:zeros]
+            above[np.flatnonzero(ones)] = codes[zeros:]
             codes = above
         return self.alphabet[codes]
 
