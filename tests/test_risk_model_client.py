@@ -209,3 +209,24 @@ def test_failed_prompts_are_kept_and_asked_again_on_request(spark, tmp_path):
     assert open(calls).read() == ""
     E.resumable_enrich(df, store, _client(calls), rounds=1, retry_errors=True).collect()
     assert open(calls).read().splitlines()[0] == "bad one" and "good" not in open(calls).read()
+
+
+def test_fit_rows_lie_in_a_fixed_number_of_partitions(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, data: seen.append((data.rdd.getNumPartitions(), data.count()))})())
+    for parts in (3, 40):
+        M.train_forest(spark.range(400).selectExpr("id * 1.0D AS a", "id * 2.0D AS y").repartition(parts), ["a"], "y")
+    assert seen == [(M.FIT_PARTS, 400)] * 2
+
+
+def test_the_summary_fits_one_forest(spark, tmp_path, monkeypatch):
+    from orrery.catalog.model import q_forecast_job_summary
+
+    spark.range(320).selectExpr("id AS o_orderkey", "'p' AS o_orderpriority", "date_add(DATE'2000-01-01', CAST(id AS INT)) AS o_orderdate",
+                                "CAST(100 + pmod(id * 37, 11) AS DOUBLE) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(320).selectExpr("id AS l_orderkey", "pmod(id, 4) AS l_suppkey", "'A' AS l_returnflag", "'F' AS l_linestatus",
+                                "CAST(pmod(id * 7, 50) AS DOUBLE) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    fits = []
+    monkeypatch.setattr(M, "stored_forest", lambda train, cols: fits.append(1) or M.train_forest(train, cols, num_trees=2, max_depth=2))
+    (row,) = q_forecast_job_summary(spark, str(tmp_path)).collect()
+    assert fits == [1] and row.symbol == "p" and row.train_score is not None and row.test_score is not None
