@@ -59,6 +59,24 @@ def test_batch_enrich_captures_errors_per_row(spark):
     assert got == {"a": "fine", "b": "Error: failed"}
 
 
+def test_a_task_holds_few_texts_at_once(spark):
+    """Of a batch of long prompts only a few are Python texts at a time: what was asked before is free again."""
+    def make():
+        import gc
+
+        def client(prompt):
+            return str(sum(isinstance(x, list) and len(x) > 0 and isinstance(x[0], str) and len(x[0]) == 999 and len(x) or 0
+                           for x in gc.get_objects()))
+        return client
+
+    df = spark.range(300, numPartitions=1).selectExpr("CAST(id AS STRING) AS topic", "repeat('x', 999) AS prompt", "id AS n")
+    out = E.topic_batch_enrich(df, factory=make)
+    rows = out.collect()
+    assert out.columns == ["topic", "prompt", "n", "response"] and sorted(r.n for r in rows) == list(range(300))
+    assert all(r.topic == str(r.n) and r.prompt == "x" * 999 and int(r.response) <= E.ROWS_AT_ONCE for r in rows)
+    assert "MapInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_client_is_built_by_its_factory_in_the_task(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "yy")], "topic string, prompt string")
     got = {r.topic: r.response for r in E.topic_prompts(df.select("topic"), df, factory=lambda: lambda p: p * 2).collect()}
