@@ -17,9 +17,10 @@ are set aside, until none is left.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -42,8 +43,8 @@ LABELLED_LENGTH = 6  # the shortest value that a pattern labels
 CANDIDATE_LENGTH = 16  # of the shortest candidate, or that of the shortest labelled value if that is less
 BEHIND = re.compile("[=/]")  # a value may start behind one of these
 
-# The fit: labelled credentials per kind, and ordinary candidates, that a sample may hold, and the
-# length beyond which a value is not used to fit.
+# The fit: labelled credentials per kind, and ordinary candidates, that a sample may hold.  Longer values are
+# sampled too, by the doublings of SAMPLE_LENGTH that hold them, a quarter as many at each and one at least.
 SAMPLE, SAMPLE_LENGTH = 4000, 128
 APART = 3.1  # standard normal quantile of the likelihood-ratio test that keeps states apart
 SMOOTH, ALONE = 0.02, 0.1  # share of the pair chain in every step of an automaton, and of the chain alone beside it
@@ -225,10 +226,11 @@ def infer(samples: list[str], apart: float = APART, chain: Chain | None = None)
                 stack.append((edges[a][c], edges[b][c]))
         return True
 
-    def fold(home: int, node: int) -> None:
-        stack = [(home, node)]
+    def fold(home: int, node: int) -> list[int]:
+        stack, grown = [(home, node)], []
         while stack:
             a, b = stack.pop()
+            grown.append(a)
             visits[a] += visits[b]
             ends[a] += ends[b]
             for c, target in edges[b].items():
@@ -237,20 +239,32 @@ def infer(samples: list[str], apart: float = APART, chain: Chain | None = None)
                     stack.append((edges[a][c], target))
                 else:
                     edges[a][c] = target
+        return grown
 
-    settled = [0]
-    while True:
-        known = set(settled)
-        open_ = [(-visits[t], s, c, t) for s in settled for c, t in edges[s].items() if t not in known]
-        if not open_:
-            break
-        _, parent, c, node = min(open_)
-        home = next((s for s in settled if depth[s] == depth[node] and compatible(s, node)), None)
+    # steps out of settled states, most visited first; one that a fold changes is put in again, and its old entry is passed over
+    settled, known, level, steps = [0], {0}, {0: [0]}, []
+
+    def put(s: int) -> None:
+        for c, t in edges[s].items():
+            if t not in known:
+                heapq.heappush(steps, (-visits[t], s, c, t))
+
+    put(0)
+    while steps:
+        count, parent, c, node = heapq.heappop(steps)
+        if node in known or edges[parent][c] != node or visits[node] != -count:
+            continue
+        home = next((s for s in level.get(depth[node], []) if compatible(s, node)), None)
         if home is None:
             settled.append(node)
+            known.add(node)
+            level.setdefault(depth[node], []).append(node)
+            put(node)
         else:
             edges[parent][c] = home
-            fold(home, node)
+            for s in fold(home, node):
+                if s in known:
+                    put(s)
     index = {s: k for k, s in enumerate(settled)}
     by_depth: list[dict[str, int]] = [{} for _ in range(1 + max(depth[s] for s in settled))]
     for s in sorted(settled, key=lambda s: visits[s]):  # the most visited states come last and stay
@@ -284,7 +298,9 @@ class Formats:
     ordinary: Automaton
     scores: dict[str, float] = field(default_factory=dict)
     least: int = CANDIDATE_LENGTH
-    longest: int = SAMPLE_LENGTH  # nothing longer was fitted, so every automaton ends before
+
+    def __post_init__(self) -> None:
+        self.longest = max(max(a.depth) for a in self.credentials)  # a longer run leaves every automaton
 
     def score(self, run: str) -> float:
         """How much likelier, as a logarithm, the best credential format makes ``run``.  Inside a
@@ -292,13 +308,18 @@ class Formats:
         if len(run) > self.longest:
             return IMPOSSIBLE
         classes = run.translate(CLASS_OF)
+        if len(run) > SAMPLE_LENGTH:  # too long to keep
+            return self._score(classes)
         if classes not in self.scores:
             if len(self.scores) > 200_000:
                 self.scores.clear()
-            best = max(a.log_likelihood(classes, inside=True) for a in self.credentials)
-            self.scores[classes] = best - self.ordinary.log_likelihood(classes) if best > IMPOSSIBLE else IMPOSSIBLE
+            self.scores[classes] = self._score(classes)
         return self.scores[classes]
 
+    def _score(self, classes: str) -> float:
+        best = max(a.log_likelihood(classes, inside=True) for a in self.credentials)
+        return best - self.ordinary.log_likelihood(classes) if best > IMPOSSIBLE else IMPOSSIBLE
+
     def found(self, run: str, threshold: float) -> list[tuple[int, int]]:
         """(start, end) of the parts of ``run`` that pass, from the left, the longest first, none twice."""
         if self.score(run) >= threshold:
@@ -314,16 +335,30 @@ class Formats:
 # --- over the corpus -----------------------------------------------------------------------------
 
 
+LONG = 100  # between the kinds of one doubling and the next
+
+
+def _doublings(length: int) -> int:
+    """How often SAMPLE_LENGTH has to be doubled to hold ``length``."""
+    return ((length - 1) // SAMPLE_LENGTH).bit_length()
+
+
+def _share(kind: int, size: int) -> int:
+    """How many values of a kind a sample holds: their characters halve from doubling to doubling."""
+    return max(1, size >> 2 * (kind // LONG))
+
+
 def _samples(size: int):
     """Per partition and kind the values with the smallest hashes; ordinary candidates are kind 3, and
-    shorter ones by length in kinds of their own.  The length of the shortest labelled value is the
-    hash of kind -1."""
+    shorter ones by length in kinds of their own; values beyond SAMPLE_LENGTH have LONG more per doubling of it.
+    Of ordinary runs that long, the whole and the parts between = and / are taken, not every tail, so that they cost
+    no more than their length.  The length of the shortest labelled value is the hash of kind -1, of the longest that of kind -2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        held: list[dict[str, int]] = [{} for _ in range(len(KINDS) + CANDIDATE_LENGTH - LABELLED_LENGTH)]
-        shortest = CANDIDATE_LENGTH
+        held: dict[int, dict[str, int]] = defaultdict(dict)
+        shortest, longest = CANDIDATE_LENGTH, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
@@ -331,9 +366,8 @@ def _samples(size: int):
                 runs = candidates(text, LABELLED_LENGTH)
                 spans = all_base_spans(text, runs)
                 for _, kind, end, value in spans:
-                    shortest = min(shortest, end - value)
-                    if end - value <= SAMPLE_LENGTH:
-                        held[kind][text[value:end]] = 0
+                    shortest, longest = min(shortest, end - value), max(longest, end - value)
+                    held[kind + LONG * _doublings(end - value)][text[value:end]] = 0
                 for _, _, run in _left(runs, spans, LABELLED_LENGTH):
                     if len(run) < CANDIDATE_LENGTH and "=" not in run and "/" not in run:
                         held[3 + CANDIDATE_LENGTH - len(run)][run] = 0
@@ -341,12 +375,14 @@ def _samples(size: int):
                     for a, b in _parts(run, LABELLED_LENGTH):
                         if b - a <= SAMPLE_LENGTH:
                             held[3 + max(0, CANDIDATE_LENGTH - (b - a))][run[a:b]] = 0
-            for kind, values in enumerate(held):
-                if len(values) > 4 * size:
-                    held[kind] = _smallest(values, size, xxhash)
-        rows = [(kind, v, xxhash.xxh64_intdigest(v.encode()) >> 1) for kind, values in enumerate(held) for v in _smallest(values, size, xxhash)]
+                        elif a == 0 or b < len(run):
+                            held[3 + LONG * _doublings(b - a)][run[a:b]] = 0
+            for kind, values in held.items():
+                if len(values) > 4 * _share(kind, size):
+                    held[kind] = _smallest(values, _share(kind, size), xxhash)
+        rows = [(kind, v, xxhash.xxh64_intdigest(v.encode()) >> 1) for kind, values in held.items() for v in _smallest(values, _share(kind, size), xxhash)]
         if rows:
-            rows.append((-1, "", shortest))
+            rows += [(-1, "", shortest), (-2, "", longest)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64()))],
                                              names=["kind", "value", "hash"])
 
@@ -359,26 +395,34 @@ def _smallest(values: dict[str, int], size: int, xxhash) -> dict[str, int]:
 
 def learn(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Formats | None:
     """Formats from all of ``docs``: per kind the ``sample`` distinct values with the smallest hashes,
-    whatever the partitions, and as many ordinary candidates and shorter ordinary runs.  None where nothing is labelled (by values
-    of at most SAMPLE_LENGTH) or no ordinary candidate is there to compare with."""
+    whatever the partitions, and as many ordinary candidates and shorter ordinary runs; where longer values than
+    SAMPLE_LENGTH are labelled, samples of those and of ordinary candidates up to their length too.  None where nothing
+    is labelled or no ordinary candidate is there to compare with."""
     found = write_through(docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(
         _samples(sample), "kind long, value string, hash long").distinct(), "secret-samples")
-    best = found.where("kind = -1").orderBy("hash").limit(1)
+    best = found.where("kind = -1").orderBy("hash").limit(1).unionAll(found.where("kind = -2").orderBy(F.desc("hash")).limit(1))
     for kind in range(3):
         best = best.unionAll(found.where(F.col("kind") == kind).orderBy("hash", "value").limit(sample))
     values: list[list[str]] = [[], [], []]
-    least = CANDIDATE_LENGTH
+    least, longest = CANDIDATE_LENGTH, 0
     for row in best.collect():  # at most three samples
-        if row["kind"] < 0:
+        if row["kind"] == -1:
             least = row["hash"]
+        elif row["kind"] == -2:
+            longest = row["hash"]
         else:
             values[row["kind"]].append(row["value"])
+    ordinary_long = []
+    for kind in (k + LONG * d for d in range(1, _doublings(max(longest, 1)) + 1) for k in range(len(KINDS))):
+        more = [row["value"] for row in found.where(F.col("kind") == kind).orderBy("hash", "value").limit(_share(kind, sample)).collect()]
+        (values[kind % LONG] if kind % LONG < 3 else ordinary_long).extend(more)
     if not any(values[:3]):
         return None
     last = 3 + CANDIDATE_LENGTH - least  # the kind of ordinary runs as short as the shortest labelled value
-    for part in (F.col("kind").between(3, last), F.col("kind") > last):
+    for part in (F.col("kind").between(3, last), F.col("kind").between(last + 1, LONG - 1)):
         values.append([row["value"].translate(CLASS_OF) for row in found.where(part).orderBy("hash", "value").limit(sample).collect()])  # at most a sample
     credentials = [infer(sorted(v.translate(CLASS_OF) for v in kind)) for kind in values[:3] if kind]
+    values[-2] += [v.translate(CLASS_OF) for v in ordinary_long if len(v) <= longest]
     ordinary = infer_ordinary(sorted(values[-2]), values[-1], credentials)
     return Formats(credentials, ordinary, least=least) if ordinary else None
 

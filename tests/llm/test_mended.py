@@ -119,3 +119,16 @@ def test_registered_url_filter_blocks_hosts_over_the_overall_rate(spark):
         "page_id", "CAST(quality = 0 OR toxic = 1 AS DOUBLE) AS bad").groupBy("page_id").max("bad").toDF("page_id", "bad")
     rate = {r.verdict: r.bad for r in open_.join(outcome, "page_id").groupBy("verdict").agg({"bad": "avg"}).toDF("verdict", "bad").collect()}
     assert rate["block"] > 1.3 * rate["allow"]
+
+
+def test_secrets_longer_than_the_first_sample_length_are_found(spark):
+    rng = random.Random(8)
+    code = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    word = lambda: "-".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(4))
+    docs = {k: f"see {word()} token={code(200)} and {word()}/{word()}.html" for k in range(300)}
+    docs |= {1000: f"x {code(200)} y", 1001: f"KEY_FILE={code(200)}", 1002: f"x {code(201)} y", 1003: f"x {'-'.join(word() for _ in range(9))} y", 1004: code(600)}
+    frame = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string").repartition(4)
+    assert secrets.learn(frame).longest == 200
+    got = {r.doc_id: r.spans for r in secrets.scan(frame).where("n_format > 0").collect()}
+    assert got == {1000: "format:2:202", 1001: "format:9:209"}
+    assert [secrets._doublings(n) for n in (1, 128, 129, 256, 257, 512, 513)] == [0, 0, 1, 1, 2, 2, 3]
