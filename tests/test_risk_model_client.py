@@ -230,3 +230,70 @@ def test_the_summary_fits_one_forest(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(M, "stored_forest", lambda train, cols: fits.append(1) or M.train_forest(train, cols, num_trees=2, max_depth=2))
     (row,) = q_forecast_job_summary(spark, str(tmp_path)).collect()
     assert fits == [1] and row.symbol == "p" and row.train_score is not None and row.test_score is not None
+
+
+def test_every_labelled_row_fits_the_forest(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, data: seen.append((data.count(), data.agg({"y": "max"}).head()[0]))})())
+    M.train_forest(spark.range(20000).selectExpr("id * 1.0D AS a", "id * 2.0D AS y"), ["a"], "y", num_trees=2)
+    assert seen == [(20000, 39998.0)]
+
+
+def test_bins_are_cut_by_all_rows(spark):
+    # one row of 40,000 holds a value of its own, which a sample would miss
+    df = spark.range(40000).selectExpr("CAST(id AS DOUBLE) AS a", "IF(id = 777, 2, pmod(id, 2)) AS k", "1.5D AS c", "IF(id % 2 = 0, 9, -id) AS t")
+    cols = ["a", "k", "c", "t"]
+    bins = M.bins_of(df, cols, dict(zip(cols, (40000, 3, 1, 20000))), 32)
+    a, k, c, t = bins.getSplitsArray()
+    assert k == [float("-inf"), 1, 2, float("inf")] and c == [float("-inf"), 0, float("inf")] and len(t) <= 33 and 9 in t
+    assert len(a) == 33 and all(abs(got - at * 1250) < 100 for at, got in enumerate(a[1:-1], 1))
+    rows = bins.transform(df).groupBy("k", "k_bin").count().collect()
+    assert sorted((r.k, r.k_bin) for r in rows) == [(0, 0.0), (1, 1.0), (2, 2.0)]
+
+
+def test_a_large_forest_is_grown_in_groups_and_kept_in_pieces(spark, tmp_path, monkeypatch):
+    df = spark.range(3000).selectExpr("id % 97 * 1.0D AS a", "id % 89 AS b", "sin(id % 97) + id % 89 AS y").repartition(5)
+    monkeypatch.setattr(M, "TREE_ROWS", 40000)  # two trees to a group
+    monkeypatch.setattr(M, "PIECE_NODES", 500)
+    counts = []
+    fit = M.RandomForestRegressor.fit
+    monkeypatch.setattr(M.RandomForestRegressor, "fit", lambda self, data: counts.append((self.getNumTrees(), self.getSeed(), data.count())) or fit(self, data))
+    settings = {"num_trees": 15, "max_depth": 6, "min_instances": 5}
+    whole = M.train_forest(df, ["a", "b"], "y", **settings)
+    assert sorted(counts) == [(1, 49, 3000)] + [(2, 42 + k, 3000) for k in range(7)]
+    forest = whole.stages[-1]
+    assert forest.getNumTrees == 15 == forest.getOrDefault("numTrees") and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 15
+    kept = M.stored_forest(df, ["a", "b"], "y", folder=f"file://{tmp_path}/forests", **settings)
+    (name,) = [p for p in pathlib.Path(tmp_path, "forests").iterdir() if not p.name.startswith(".")]
+    assert len([p for p in name.iterdir() if p.is_dir()]) > 2
+    again = M.stored_forest(df, ["a", "b"], "y", folder=f"file://{tmp_path}/forests", **settings).stages[-1]
+    assert kept.stages[-1].getNumTrees == 15 and kept.stages[-1].toDebugString == again.toDebugString
+    out = M.predict(kept, df)
+    assert out.columns == ["a", "b", "y", "prediction"] and M.r2_score(out, "y").head().r2 > 0.8
+
+
+@pytest.fixture(scope="module")
+def many_bars(spark, tmp_path_factory):
+    """Two series of 3,500 days under one scenario: 3,271 - 655 training rows each."""
+    at = tmp_path_factory.mktemp("bars")
+    spark.range(7000).selectExpr("id AS o_orderkey", "concat('p', id % 2) AS o_orderpriority", "date_add(DATE'1990-01-01', CAST(id div 2 AS INT)) AS o_orderdate",
+                                 "CAST(100 + pmod(id * 37, 11) AS DOUBLE) AS o_totalprice").write.parquet(f"{at}/orders.parquet")
+    spark.range(320).selectExpr("id AS l_orderkey", "pmod(id, 4) AS l_suppkey", "'A' AS l_returnflag", "'F' AS l_linestatus",
+                                "CAST(pmod(id * 7, 50) AS DOUBLE) AS l_quantity").write.parquet(f"{at}/lineitem.parquet")
+    return str(at)
+
+
+def _fitted_rows(spark, monkeypatch, tmp_path, bars, name):
+    """The rows that the forest of a query is fitted on, and the query's rows."""
+    from orrery.catalog import load_registry
+
+    seen, small = [], M.RandomForestRegressor
+    fit = small._fit
+    monkeypatch.setattr(M, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(small, "_fit", lambda self, data: seen.append(data.count()) or fit(self.copy({self.numTrees: 2, self.maxDepth: 3}), data))
+    return seen, load_registry()[name].run(spark, bars).collect()
+
+
+def test_rf_train_fits_on_all_training_rows(spark, monkeypatch, tmp_path, many_bars):
+    seen, rows = _fitted_rows(spark, monkeypatch, tmp_path, many_bars, "rf_train")
+    assert seen and set(seen) == {2 * 2616} and len(rows) == 1
