@@ -251,10 +251,10 @@ def test_bins_are_cut_by_all_rows(spark):
     assert sorted((r.k, r.k_bin) for r in rows) == [(0, 0.0), (1, 1.0), (2, 2.0)]
 
 
-def test_a_large_forest_is_grown_in_groups_and_kept_in_pieces(spark, tmp_path, monkeypatch):
+def test_a_large_forest_is_grown_and_kept_in_groups(spark, tmp_path, monkeypatch):
     df = spark.range(3000).selectExpr("id % 97 * 1.0D AS a", "id % 89 AS b", "sin(id % 97) + id % 89 AS y").repartition(5)
-    monkeypatch.setattr(M, "TREE_ROWS", 40000)  # two trees to a group
-    monkeypatch.setattr(M, "PIECE_NODES", 500)
+    monkeypatch.setattr(M, "TREE_ROWS", 18000)  # two trees to a group
+    monkeypatch.setattr(M, "GROUPS_AT_ONCE", 3)
     counts = []
     fit = M.RandomForestRegressor.fit
     monkeypatch.setattr(M.RandomForestRegressor, "fit", lambda self, data: counts.append((self.getNumTrees(), self.getSeed(), data.count())) or fit(self, data))
@@ -265,7 +265,7 @@ def test_a_large_forest_is_grown_in_groups_and_kept_in_pieces(spark, tmp_path, m
     assert forest.getNumTrees == 15 == forest.getOrDefault("numTrees") and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 15
     kept = M.stored_forest(df, ["a", "b"], "y", folder=f"file://{tmp_path}/forests", **settings)
     (name,) = [p for p in pathlib.Path(tmp_path, "forests").iterdir() if not p.name.startswith(".")]
-    assert len([p for p in name.iterdir() if p.is_dir()]) > 2
+    assert sorted(p.name for p in name.iterdir()) == [*map(str, range(8)), "features"]
     again = M.stored_forest(df, ["a", "b"], "y", folder=f"file://{tmp_path}/forests", **settings).stages[-1]
     assert kept.stages[-1].getNumTrees == 15 and kept.stages[-1].toDebugString == again.toDebugString
     out = M.predict(kept, df)
@@ -297,3 +297,8 @@ def _fitted_rows(spark, monkeypatch, tmp_path, bars, name):
 def test_rf_train_fits_on_all_training_rows(spark, monkeypatch, tmp_path, many_bars):
     seen, rows = _fitted_rows(spark, monkeypatch, tmp_path, many_bars, "rf_train")
     assert seen and set(seen) == {2 * 2616} and len(rows) == 1
+
+
+def test_rf_predict_uses_a_forest_of_all_training_rows(spark, monkeypatch, tmp_path, many_bars):
+    seen, rows = _fitted_rows(spark, monkeypatch, tmp_path, many_bars, "rf_predict")
+    assert seen and set(seen) == {2 * 2616} and [r.predicted_return is None for r in rows] == [False] * 2
