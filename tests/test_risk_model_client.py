@@ -302,3 +302,8 @@ def test_rf_train_fits_on_all_training_rows(spark, monkeypatch, tmp_path, many_b
 def test_rf_predict_uses_a_forest_of_all_training_rows(spark, monkeypatch, tmp_path, many_bars):
     seen, rows = _fitted_rows(spark, monkeypatch, tmp_path, many_bars, "rf_predict")
     assert seen and set(seen) == {2 * 2616} and [r.predicted_return is None for r in rows] == [False] * 2
+
+
+def test_forecast_job_uses_a_forest_of_all_training_rows(spark, monkeypatch, tmp_path, many_bars):
+    seen, rows = _fitted_rows(spark, monkeypatch, tmp_path, many_bars, "forecast_job")
+    assert seen and set(seen) == {2 * 2616} and len(rows) == 2 * 365
