@@ -307,3 +307,8 @@ def test_rf_predict_uses_a_forest_of_all_training_rows(spark, monkeypatch, tmp_p
 def test_forecast_job_uses_a_forest_of_all_training_rows(spark, monkeypatch, tmp_path, many_bars):
     seen, rows = _fitted_rows(spark, monkeypatch, tmp_path, many_bars, "forecast_job")
     assert seen and set(seen) == {2 * 2616} and len(rows) == 2 * 365
+
+
+def test_forecast_job_summary_uses_a_forest_of_all_training_rows(spark, monkeypatch, tmp_path, many_bars):
+    seen, rows = _fitted_rows(spark, monkeypatch, tmp_path, many_bars, "forecast_job_summary")
+    assert seen and set(seen) == {2 * 2616} and len(rows) == 2 and all(r.train_score is not None and r.test_score is not None for r in rows)
